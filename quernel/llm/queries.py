@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_text, quality
+from . import decontaminate, near_text, near_vectors, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -16,6 +16,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+#: The components by label propagation: a recursive query over all linked pairs.
+ORACLE_SQL["op1_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE e IS NOT NULL AND list_sum(list_transform(e, lambda x: CAST(x IS NULL OR NOT isfinite(x) AS INT))) = 0 AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+pairs AS MATERIALIZED (SELECT a.r AS a, b.r AS b, b.vec_id AS other FROM g a JOIN g b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT r, r FROM v UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+comp AS (SELECT reach.a AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
+deg AS (SELECT a AS r, count(*) AS n FROM pairs GROUP BY a)
+SELECT v.vec_id, coalesce(deg.n, 0) AS n_links, comp.component_id, v.vec_id = comp.component_id AS kept
+FROM v JOIN comp USING (r) LEFT JOIN deg USING (r)
+"""
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return quality.score_quality(docs, quality.quality_scorer(docs, labels), threshold=0.3)
@@ -49,5 +66,5 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-for _f in (op5_quality_classifier, op6_minhash_near_dedup, op10_benchmark_decontamination):
+for _f in (op1_embedding_near_dedup, op5_quality_classifier, op6_minhash_near_dedup, op10_benchmark_decontamination):
     QUERIES[_f.__name__] = _f
