@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_text, near_vectors, quality, tokenfile, urlfilter
+from . import decontaminate, near_text, near_vectors, quality, tokenfile, urlfilter, warc
+from .shared import new_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,6 +34,22 @@ FROM v JOIN comp USING (r) LEFT JOIN deg USING (r)
 """
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"), least_bytes=0)
+    index = warc.merge_index(spark, manifest)
+    index.write.parquet(new_dir(spark, "capture-index"))
+    return warc.read_archives(manifest).drop("target")
+
+
+#: base32 of a digest: eight groups of five hexadecimal digits, four characters each
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr({0}, 1 + 5 * (i // 4), 5) AS INT) >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '')"
+ORACLE_SQL["op3_warc"] = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+SELECT page_id, payload_bytes, {_BASE32.format("h")} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p
+"""
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return quality.score_quality(docs, quality.quality_scorer(docs, labels), threshold=0.3)
@@ -99,5 +116,5 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-for _f in (op1_embedding_near_dedup, op5_quality_classifier, op6_minhash_near_dedup, op7_url_filters, op9_token_binary, op10_benchmark_decontamination):
+for _f in (op1_embedding_near_dedup, op3_warc, op5_quality_classifier, op6_minhash_near_dedup, op7_url_filters, op9_token_binary, op10_benchmark_decontamination):
     QUERIES[_f.__name__] = _f

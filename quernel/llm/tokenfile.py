@@ -322,7 +322,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                 encode = encoder(tokenizer, end_id)
                 fs, path = filesystem(uri)
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
-                out = fs.open_output_stream(path)
+                out = fs.open_output_stream(path, compression=None)
             ids, texts = batch.columns
             nulls.append(np.asarray(ids.is_null()))
             doc_ids.append(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
