@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_text, near_vectors, quality, tokenfile, urlfilter, warc
+from . import decontaminate, near_text, near_vectors, quality, secrets, tokenfile, urlfilter, warc
 from .shared import new_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,10 @@ FROM v JOIN comp USING (r) LEFT JOIN deg USING (r)
 """
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(_table(spark, sf_dir, "pages"), least_bytes=0)
     index = warc.merge_index(spark, manifest)
@@ -116,5 +120,5 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-for _f in (op1_embedding_near_dedup, op3_warc, op5_quality_classifier, op6_minhash_near_dedup, op7_url_filters, op9_token_binary, op10_benchmark_decontamination):
+for _f in (op1_embedding_near_dedup, op2_secret_scans, op3_warc, op5_quality_classifier, op6_minhash_near_dedup, op7_url_filters, op9_token_binary, op10_benchmark_decontamination):
     QUERIES[_f.__name__] = _f
