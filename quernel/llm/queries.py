@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_text, near_vectors, quality, secrets, tokenfile, urlfilter, warc
+from . import decontaminate, htmltext, near_text, near_vectors, quality, secrets, tokenfile, urlfilter, warc
 from .shared import new_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,10 @@ FROM p
 """
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return quality.score_quality(docs, quality.quality_scorer(docs, labels), threshold=0.3)
@@ -120,5 +124,5 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-for _f in (op1_embedding_near_dedup, op2_secret_scans, op3_warc, op5_quality_classifier, op6_minhash_near_dedup, op7_url_filters, op9_token_binary, op10_benchmark_decontamination):
+for _f in (op1_embedding_near_dedup, op2_secret_scans, op3_warc, op4_html_extraction, op5_quality_classifier, op6_minhash_near_dedup, op7_url_filters, op9_token_binary, op10_benchmark_decontamination):
     QUERIES[_f.__name__] = _f
