@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmltext, near_text, near_vectors, quality, secrets, tokenfile, urlfilter, warc
+from . import decontaminate, htmltext, mixing, near_text, near_vectors, quality, secrets, tokenfile, urlfilter, warc
 from .shared import new_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,10 @@ FROM u
 """
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfile.write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
     return tokenfile.read_tokens(manifest)
@@ -124,5 +128,5 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-for _f in (op1_embedding_near_dedup, op2_secret_scans, op3_warc, op4_html_extraction, op5_quality_classifier, op6_minhash_near_dedup, op7_url_filters, op9_token_binary, op10_benchmark_decontamination):
+for _f in (op1_embedding_near_dedup, op2_secret_scans, op3_warc, op4_html_extraction, op5_quality_classifier, op6_minhash_near_dedup, op7_url_filters, op8_mixing, op9_token_binary, op10_benchmark_decontamination):
     QUERIES[_f.__name__] = _f
