@@ -130,6 +130,25 @@ class Engine:
         for c in fulltext or []:
             definitions.create_fulltext(self.catalog, CreateFulltext(f"fts_{name}_{c}", name, c, {"parser": "ngram", "n": 2, "normalize": "nfkc", "stop_filter": False, "stop_df_ratio_ppm": 200_000} | options))
 
+    def load(self, name: str, df: DataFrame, primary: list[str]) -> None:
+        """Make a table from a DataFrame's rows: a bulk insert into a new table, in one distributed write."""
+        from .plans.expressions import kind_of
+
+        kinds = {"int": "BIGINT", "float": "DOUBLE", "bool": "BOOLEAN", "date": "DATE", "dt": "DATETIME", "bin": "VARBINARY"}
+        work = self.current.copy()
+        if name in work.tables:
+            raise ExecutionError(f"table {name} exists")
+        columns = [Column(f.name, Type(kinds.get(kind_of(f.dataType), "TEXT")), nullable=f.name not in primary) for f in df.schema]
+        table = work.tables[name] = Table(name, columns, primary, stored=[c.name for c in columns])
+        changes = Changes(self.spark, work, f"{self.root}/data", None)
+        changes.store(table, df)
+        changes.check_rows(table, table.rows(self.spark))
+        changes.check_unique(table, table.rows(self.spark), [primary])
+        if self.transaction:
+            self.transaction = work
+        else:
+            self._publish(work)
+
     def _source(self, catalog: Catalog, name: str) -> Source:
         table = catalog.table(name)
         rows = table.rows(self.spark)
