@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textops import U64, Words, buffers, mix, words_of
+from .textops import U64, Words, bounded_batches, buffers, lean, mix, words_of
 
 #: most benchmark text, in bytes, that is broadcast at once (the tables of a block take about 10 x that).
 BLOCK_BYTES = 16 << 20
@@ -162,6 +162,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("state"))
     kind = df.schema["id"].dataType.simpleString()
@@ -198,7 +199,7 @@ def _scan(table, final: bool):
                 names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return scan
+    return lean(scan)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
@@ -215,8 +216,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                     mask[[i + r for r in t.hits(w)[1]]] = False
                 yield batch.filter(pa.array(mask))
 
-        return scan
+        return lean(scan)
 
+    bounded_batches(docs.sparkSession)
     for t in _blocks(benchmark, item_col, item_text_col, window):
         docs = docs.mapInArrow(keep(sc.broadcast(t)), docs.schema)
     return docs

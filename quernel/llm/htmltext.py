@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .textops import U64, mix
+from .textops import U64, bounded_batches, lean, mix
 from .urlfilter import host_of
 
 #: pages that a host needs for a template; share of its pages that a template token needs
@@ -223,7 +223,7 @@ def templates(pages: DataFrame) -> DataFrame:
     pages: host long, html, seed long.  A host's row is bounded by its pages' size: a token that half of the pages have
     takes up half a token of the average page, so there are at most twice as many as an average page has.
     """
-    tokens = pages.select("host", "html", "seed").mapInArrow(_stats, "host long, token long, n long, hi long, lo long, parent long")
+    tokens = pages.select("host", "html", "seed").mapInArrow(lean(_stats), "host long, token long, n long, hi long, lo long, parent long")
     tokens = tokens.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("n", "hi", "lo")], F.max("parent").alias("parent"))
     some = tokens.where(f"n >= {LEAST_PAGES} * {SUPPORT}")
     hosts = some.where(F.col("token") == _hash("")).select("host", F.col("n").alias("pages")).where(f"pages >= {LEAST_PAGES}")
@@ -266,6 +266,7 @@ def main_text(page: str, often: frozenset[int] = frozenset(), always: frozenset[
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each page."""
+    bounded_batches(pages.sparkSession)
     url = F.col(url_col).cast("string")
     df = pages.select(F.col(id_col).alias("id"), url.alias("url"), F.col(html_col).cast("string").alias("html"))
     df = df.withColumn("host", F.xxhash64(host_of(F.col("url"))))
@@ -286,4 +287,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts.append(main_text(page or "", *[made.setdefault(k, frozenset(k)) for k in keys]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+    return joined.mapInArrow(lean(run), f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

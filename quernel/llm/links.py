@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import materialize
+from .textops import lean
 
 #: members of a block; a tile holds two.
 BLOCK = 512
@@ -39,7 +40,7 @@ def bucket_links(spark: SparkSession, items: DataFrame, verify: Verify, dtype: s
     tiles = tiles.select("key", "rep", "a", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("b")).select("key", "rep", "a", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
     full = tiles.join(items, "rep")
     full = full.select("key", "i", "j", "a", "rep", "copies", "keys", "payload")
-    found = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(_tiles(verify, dtype), "rep long, linked long, lead long")
+    found = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(lean(_tiles(verify, dtype)), "rep long, linked long, lead long")
     found = materialize(spark, found, "links")
     edges = found.where("rep <> lead").select(F.greatest("rep", "lead").alias("big"), F.least("rep", "lead").alias("small")).distinct()
     return found.groupBy("rep").agg(F.sum("linked").alias("linked")), edges

@@ -27,7 +27,7 @@ from pyspark.sql.functions import arrow_udf
 
 from . import quality
 from .shared import materialize
-from .textops import buffers, words_of
+from .textops import bounded_batches, buffers, trim, words_of
 
 DOMAINS = ("low", "good", "toxic")
 #: share of the tokens that each domain is to have
@@ -37,6 +37,7 @@ STEPS, TOLERANCE = 30, 1e-6
 
 def domain_scorers(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> list[quality.Scorer]:
     """Scorers of quality and of toxicity; toxicity is told by a few words, so it looks at which words there are."""
+    bounded_batches(docs.sparkSession)
     good = quality.fit(docs, labels, {"quality": F.col("quality") == 1}, max_rows=max_rows)["quality"]
     toxic = quality.fit(docs, labels.where("quality = 1"), {"toxic": F.col("toxic") == 1}, presence=True, max_rows=max_rows, l1=2.0, alpha=0.5)["toxic"]
     return [good, toxic]
@@ -49,15 +50,20 @@ def membership(scorers: list[quality.Scorer]):
     @arrow_udf("struct<n: long, p: array<double>>")
     def member(text: pa.Array) -> pa.Array:
         raw, offsets = buffers(text)
-        good, toxic = (quality.Scorer(w, presence)(raw, offsets) for w, presence in shared)
-        p = np.stack([1 - good, good * (1 - toxic), good * toxic], axis=1)
+        p = _posteriors(shared, raw, offsets)
         n = [np.diff(w.offsets) for _, _, w in words_of(raw, offsets)]
         n = np.concatenate(n) if n else np.zeros(0, np.int64)
+        trim()
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))], names=["n", "p"])
 
     return member
 
 
+def _posteriors(shared: list[tuple[np.ndarray, bool]], raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    good, toxic = (quality.Scorer(w, presence)(raw, offsets) for w, presence in shared)
+    return np.stack([1 - good, good * (1 - toxic), good * toxic], axis=1)
+
+
 def _rates(p: np.ndarray, steps: list[list[float]], most: float) -> np.ndarray:
     r = np.ones(len(p))
     for v in steps:
@@ -156,8 +162,15 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
     text = F.col(text_col).cast("string")
     members = materialize(docs.sparkSession, docs.select(membership(scorers)(text).alias("m")).select("m.n", "m.p"), "members")
     steps = fit_rates(members, weights, anchor, max_rate)
-    rate = _rate_column(steps, max_rate)(membership(scorers)(text)["p"])
-    df = docs.withColumn("__rate", rate).withColumn("__hash", F.xxhash64(text))
+    shared, most = [(s.weights, s.presence) for s in scorers], np.inf if max_rate is None else float(max_rate)
+
+    @arrow_udf("double")
+    def rate(text: pa.Array) -> pa.Array:
+        out = _rates(_posteriors(shared, *buffers(text)), steps, most)
+        trim()
+        return pa.array(out)
+
+    df = docs.withColumn("__rate", rate(text)).withColumn("__hash", F.xxhash64(text))
     df = df.withColumn("__copies", _copies(F.col("__rate"), id_col, "__hash")).where("__copies > 0")
     if max_rate is None or max_rate > 1:
         df = df.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies"))))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from .links import bucket_links, components
 from .minhash import shingles, signatures
 from .shared import materialize
-from .textops import U64, buffers, mix, words_of
+from .textops import U64, bounded_batches, buffers, lean, mix, trim, words_of
 
 #: darts of a signature, darts of a band, words of a shingle, least similarity of a link
 K, ROWS, SHINGLE, THRESHOLD = 128, 4, 2, 0.6
@@ -81,9 +81,10 @@ def _verify(threshold: float):
 def _groups(docs: DataFrame, id_col: str, text_col: str, k: int, rows: int, shingle: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Every document as (id, h1, h2); the classes that have copies or links as (h1, h2, first, n_links, root)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    signed = materialize(spark, texts.mapInArrow(_sign(k, rows, shingle), f"id {kind}, h1 long, h2 long, keys array<long>, payload binary"), "signed")
+    signed = materialize(spark, texts.mapInArrow(lean(_sign(k, rows, shingle)), f"id {kind}, h1 long, h2 long, keys array<long>, payload binary"), "signed")
     # all copies have one signature, so the first of each map task stands for them
     classes = signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("payload").alias("payload"))
     classes = materialize(spark, classes.withColumn("rep", F.col("h1")), "classes")
@@ -128,6 +129,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     @arrow_udf("struct<h1: long, h2: long>")
     def class_of(text: pa.Array) -> pa.Array:
         keys, some = _class_keys(text)
+        trim()
         return pa.StructArray.from_arrays([pa.array(x.view(np.int64), mask=~some) for x in keys], names=["h1", "h2"])
 
     member, groups = _groups(docs, id_col, text_col, k, rows, shingle, threshold)

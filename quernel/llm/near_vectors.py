@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .links import bucket_links, components
 from .shared import materialize
-from .textops import U64, mix
+from .textops import U64, lean, mix
 
 THRESHOLD = 0.9
 #: filters expected of a vector, least filters of it, members expected of a filter
@@ -86,6 +86,8 @@ class Filters:
                 rows.append(r[at])
                 codes.append(code[k : k + step][at] * self.words + word)
                 parts.append(total[at, word])
+            if not rows:  # no choice is left
+                return row, code
             row, code, part = np.concatenate(rows), np.concatenate(codes), np.concatenate(parts)
         return row, code
 
@@ -142,7 +144,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     classes = materialize(spark, classes.select(F.xxhash64("v", F.lit(3)).alias("rep"), F.xxhash64("v").alias("h"), "first", "copies", "v"), "vectors")
     n = classes.count()
-    signed = classes.select("rep", "copies", "v").mapInArrow(_decode(n), "rep long, copies long, keys array<long>, payload binary")
+    signed = classes.select("rep", "copies", "v").mapInArrow(lean(_decode(n)), "rep long, copies long, keys array<long>, payload binary")
     signed = materialize(spark, signed, "filters")
     linked, edges = bucket_links(spark, signed, lambda x, y: cosines(x, y) >= threshold, "float64")
     groups = classes.select("rep", "h", "first", "copies").join(linked, "rep", "left").join(components(spark, edges).withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or linked is not null")

@@ -16,13 +16,14 @@ repeat for an id are averaged and rounded half up; with no usable label every sc
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .textops import U64, buffers, mix, runs, segment_sums, slices, span_hashes
+from .textops import U64, bounded_batches, buffers, lean, mix, runs, segment_sums, slices, span_hashes, trim
 
 BITS = 18
 DIMENSIONS = 1 << BITS
@@ -80,7 +81,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 3, alph
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
             i, x, y = rows[k]
-            i, x = np.append(i, DIMENSIONS), np.append(x, 1.0)
+            i, x = np.append(i.astype(np.int64), DIMENSIONS), np.append(x, 1.0)
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - y) * x
@@ -148,11 +149,15 @@ def _sparse(presence: bool):
 
 def _fit(max_rows: int, n_labels: int, epochs: int, options: dict):
     def run(batches):
-        rows: list[list] = []
+        # (slots, values, labels, order): views of the batches, so the rows are held once
+        rows: list[tuple] = []
         for batch in batches:
-            for y, s, v in zip(*(c.to_pylist() for c in batch.columns)):
-                rows.append((np.frombuffer(s, np.int32).astype(np.int64), np.frombuffer(v, np.float32), y, s))
-        rows.sort(key=lambda r: (len(r[0]), r[3], r[2]))  # the fit doesn't depend on the order of arrival
+            at = np.frombuffer(batch.column(1).buffers()[1], np.int32, batch.num_rows + 1, batch.column(1).offset * 4) // 4
+            slots, values = (np.frombuffer(batch.column(c).buffers()[2] or b"", kind) for c, kind in ((1, np.int32), (2, np.float32)))
+            for r, y in enumerate(batch.column(0).to_pylist()):
+                own = slots[at[r] : at[r + 1]]
+                rows.append((own, values[at[r] : at[r + 1]], y, (len(own), zlib.crc32(own), tuple(y))))
+        rows.sort(key=lambda r: r[3])  # the fit doesn't depend on the order of arrival
         rows = rows[:: max(1, -(-len(rows) // (2 * max_rows)))]
         for k in range(n_labels):
             own = [(i, x, float(y[k])) for i, x, y, _ in rows]
@@ -175,6 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], id_col:
 
     At most about max_rows labelled rows are used, those whose id hashes lowest.
     """
+    bounded_batches(docs.sparkSession)
     names = list(targets)
     known = labels.select(F.col(id_col).alias("__id"), *[targets[t].cast("double").alias(f"__{i}") for i, t in enumerate(names)]).dropna()
     known = known.groupBy("__id").agg(F.array(*[F.floor(F.avg(f"__{i}") + 0.5).cast("double") for i in range(len(names))]).alias("y"))
@@ -183,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], id_col:
     picked = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # the bound max_rows on the right side is what makes this broadcast safe
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "__id").select("text", "y")
-    found = rows.mapInArrow(_sparse(presence), "y array<double>, slots binary, x binary").repartition(1).mapInArrow(_fit(max_rows, len(names), epochs, options), "k int, w binary").collect()
+    found = rows.mapInArrow(lean(_sparse(presence)), "y array<double>, slots binary, x binary").repartition(1).mapInArrow(lean(_fit(max_rows, len(names), epochs, options)), "k int, w binary").collect()
     weights = {r.k: np.frombuffer(r.w, np.float32) for r in found}
     return {t: Scorer(weights.get(i, _constant([])), presence) for i, t in enumerate(names)}
 
@@ -198,6 +204,7 @@ def score_column(scorers: list[Scorer]) -> Callable[[Column], Column]:
     def score(text: pa.Array) -> pa.Array:
         raw, offsets = buffers(text)
         p = np.stack([Scorer(w, presence)(raw, offsets) for w, presence in shared], axis=1)
+        trim()
         return pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
 
     return score

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textops import buffers, runs, slices
+from .textops import bounded_batches, buffers, lean, runs, slices
 
 KINDS = ("assign", "access", "hex", "lexed")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -185,6 +185,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_lexed for each document; a scan without a shuffle."""
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = df.schema["id"].dataType.simpleString()
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         empty = hashlib.sha256(b"").hexdigest()
@@ -203,5 +204,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     listed[r] = ",".join(f"{k}:{x}:{y}" for x, y, k in every)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(counts[k]) for k in KINDS[:3]], pa.array(digests, pa.string()), pa.array(listed, pa.string()), pa.array(counts["lexed"])], names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_lexed"])
 
-    out = df.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_lexed long")
+    out = df.mapInArrow(lean(run), f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_lexed long")
     return out.withColumnRenamed("id", id_col)

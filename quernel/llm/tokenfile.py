@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import filesystem, new_dir
-from .textops import U64, buffers, slices, span_hashes
+from .textops import U64, bounded_batches, buffers, lean, slices, span_hashes
 
 MAGIC = b"QTOKENS1"
 #: magic, bytes an id, documents, ids, low bits, words of the high bit vector, samples, whether there are null document ids
@@ -327,7 +327,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             nulls.append(np.asarray(ids.is_null()))
             doc_ids.append(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             raw, offsets = buffers(texts)
-            for i, j in slices(offsets, 4 << 20):
+            for i, j in slices(offsets, 2 << 20):
                 a, b = int(offsets[i]), int(offsets[j])
                 x, n = encode.batch(raw[a:b], offsets[i : j + 1] - a)
                 out.write(x)
@@ -350,12 +350,13 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write token files; returns their manifest in order: part, uri, n_docs, n_ids, base (ids of all files before)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
     ordered = df.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie", "text")
     folder = new_dir(spark, "tokens")
-    made = ordered.select("id", "text").mapInArrow(_writer(folder, tokenizer, end_id), "uri string, nulls boolean, first_id long, n_docs long, n_ids long")
+    made = ordered.select("id", "text").mapInArrow(lean(_writer(folder, tokenizer, end_id)), "uri string, nulls boolean, first_id long, n_docs long, n_ids long")
     made = made.withColumn("part", F.spark_partition_id())
     made.write.parquet(f"{folder}/manifest")
     # a row per file: the driver holds a few dozen bytes for every FILE_BYTES of text
@@ -386,4 +387,4 @@ def read_tokens(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     spark: SparkSession = manifest.sparkSession
     n = max(1, manifest.count())
     one_each = manifest.select("uri", "base").repartition(min(n, 4 * spark.sparkContext.defaultParallelism), "uri")
-    return one_each.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return one_each.mapInArrow(lean(run), "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import filesystem, new_dir
+from .textops import bounded_batches, lean
 
 #: rows of a run between entries of its sparse index
 STRIDE = 256
@@ -168,6 +169,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Payloads of fewer than least_bytes are always responses.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     text = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     df = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), text.alias("payload")).withColumn("sha", F.sha1(F.col("payload").cast("binary")))
     groups = df.select("id", "url", "sha", F.octet_length("payload").alias("size")).where(F.col("size") >= least_bytes).groupBy("sha").agg(F.max_by("url", "id").alias("target"), F.max("id").alias("refers"), F.count("*").alias("n")).where("n > 1 and refers is not null")
@@ -177,7 +179,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     revisit = F.col("refers").isNotNull() & ~F.col("id").eqNullSafe(F.col("refers"))
     folder = new_dir(spark, "warc")
     rows = roles.select("id", "url", "payload", F.when(revisit, F.col("refers")).alias("refers"), F.when(revisit, F.col("target")).alias("target"))
-    rows.mapInArrow(_writer(folder), "base string, n long, bytes long, run_bytes long, sparse array<string>, places array<long>").write.parquet(f"{folder}/manifest")
+    rows.mapInArrow(lean(_writer(folder)), "base string, n long, bytes long, run_bytes long, sparse array<string>, places array<long>").write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
@@ -219,9 +221,11 @@ def merge_index(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
         import pyarrow.parquet as pq
 
-        fs, path = filesystem(places)
-        sparse = pq.read_table(path, filesystem=fs, columns=["base", "run_bytes", "sparse", "places"]).to_pylist()
+        sparse = None
         for batch in batches:
+            if sparse is None:
+                fs, path = filesystem(places)
+                sparse = pq.read_table(path, filesystem=fs, columns=["base", "run_bytes", "sparse", "places"]).to_pylist()
             for part, low, high in zip(*(c.to_pylist() for c in batch.columns)):
                 own = []
                 for r in sparse:
@@ -278,7 +282,7 @@ def read_archives(manifest: DataFrame, id_col: str = "page_id") -> DataFrame:
 
     n = max(1, manifest.count())
     one_each = manifest.select("base").repartition(min(n, 4 * manifest.sparkSession.sparkContext.defaultParallelism), "base")
-    return one_each.mapInArrow(run, "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target string").withColumnRenamed("id", id_col)
+    return one_each.mapInArrow(lean(run), "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target string").withColumnRenamed("id", id_col)
 
 
 def _read(rows: list[tuple]) -> pa.RecordBatch:
