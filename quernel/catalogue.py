@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,17 +16,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def engine_for(spark: SparkSession, sf_dir: str, **fulltext) -> Engine:
-    """A session with the driver's tables; documents and conversations have full-text indexes."""
+def engine_for(spark: SparkSession, sf_dir: str, sql: str | None = None, **fulltext) -> Engine:
+    """A session with the driver's tables (those that sql names); documents and conversations have full-text indexes."""
     e = Engine(spark)
     for t in TABLES:
-        e.register(t, f"{sf_dir}/{t}.parquet", [_KEYS[t]] if t in _KEYS else None, ["text"] if t in ("documents", "conversations") else None, **(fulltext if t in ("documents", "conversations") else {}))
+        if sql is None or re.search(rf"\b{t}\b", sql):
+            e.register(t, f"{sf_dir}/{t}.parquet", [_KEYS[t]] if t in _KEYS else None, ["text"] if t in ("documents", "conversations") else None, **(fulltext if t in ("documents", "conversations") else {}))
     return e
 
 
 def _add(name: str, sql: str, oracle: str | None, params: list | None = None, **fulltext) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return engine_for(spark, sf_dir, **fulltext).query(sql, params)
+        return engine_for(spark, sf_dir, sql, **fulltext).query(sql, params)
 
     run.__name__, run.__doc__ = name, sql
     QUERIES[name] = run

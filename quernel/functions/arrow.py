@@ -176,6 +176,9 @@ def nfkc(text: str) -> str:
 
 def register(spark: SparkSession) -> None:
     """Make the functions callable from SQL text in this session."""
+    if getattr(spark, "_quernel_functions", False):
+        return
+    spark._quernel_functions = True
 
     def add(name: str, result: str, f, n: int) -> None:
         kind = {"string": pa.string(), "boolean": pa.bool_()}[result]

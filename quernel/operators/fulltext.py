@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,7 +29,7 @@ def frequency(text: str, gram: str) -> str:
     if gram[0] == gram[1]:
         escaped = "".join(f"\\x{{{ord(c):x}}}" for c in gram)
         return f"CAST(regexp_count({text}, {quote(f'(?={escaped})')}) AS BIGINT)"
-    return f"CAST((char_length({text}) - char_length(replace({text}, {quote(gram)}, ''))) div {len(gram)} AS BIGINT)"
+    return f"CAST((octet_length({text}) - octet_length(replace({text}, {quote(gram)}, ''))) div {len(gram.encode())} AS BIGINT)"
 
 
 def contains(text: str, part: str) -> str:
@@ -62,13 +63,16 @@ def natural(text: str, query: str, c: Corpus, stop_ppm: int | None) -> str:
     if not grams or not c.docs:
         return "0L"
     average = max(c.bigrams / c.docs, 1.0)
-    tf = [f"CAST({frequency(text, g)} AS DOUBLE)" for g in grams]
+    # the frequencies are fields of s, so that each is counted once a text
+    fields = ", ".join(f"'f{i}', CAST({frequency(text, g)} AS DOUBLE)" for i, g in enumerate(grams))
+    tf = [f"s.f{i}" for i in range(len(grams))]
     length = f"greatest({' + '.join(tf)}, 1D)"
     parts = []
     for g, f in zip(grams, tf):
         idf = math.log((c.docs - c.df[g] + 0.5) / (c.df[g] + 0.5) + 1.0)
         parts.append(f"CASE WHEN {f} > 0D THEN {idf!r}D * ({f} * {K1 + 1!r}D) / ({f} + {K1!r}D * ({1 - B!r}D + {B!r}D * {length} / {average!r}D)) ELSE 0D END")
-    return f"CAST(round(coalesce({' + '.join(parts)}, 0D) * {SCALE}D) AS BIGINT)"
+    score = f"element_at(transform(array(named_struct({fields})), s -> {' + '.join(parts)}), 1)"
+    return f"CAST(round(coalesce({score}, 0D) * {SCALE}D) AS BIGINT)"
 
 
 def boolean_terms(query: str) -> list[tuple[str, str]]:
@@ -138,7 +142,33 @@ def snippet(text: str, query: str, pre: str, post: str, n: int) -> str:
     return f"CASE WHEN {text} IS NULL THEN '' {out} ELSE {start} END"
 
 
+@lru_cache(maxsize=1)
+def _suspects() -> tuple[str, str]:
+    """Two Java patterns: of characters outside a few wide ranges that NFKC leaves alone, a quick test; and of all
+    characters that NFKC may change, alone or by combining with what stands before them."""
+    second, odd = set(), set()
+    for c in range(0x80, 0x110000):
+        if 0xD800 <= c < 0xE000:
+            continue
+        pair = unicodedata.decomposition(chr(c)).split()
+        if len(pair) == 2 and not pair[0].startswith("<"):
+            second.add(int(pair[1], 16))
+        if unicodedata.combining(chr(c)) or unicodedata.normalize("NFKC", chr(c)) != chr(c):
+            odd.add(c)
+    points = sorted(odd | second | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)})
+    runs = []
+    for c in points:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    gaps = [(a[1] + 1, b[0] - 1) for a, b in zip([[0, -1], *runs], [*runs, [0x110000, 0]]) if a[1] + 1 < b[0]]
+    wide = [g for g in gaps if g[0] < 0x180 or g[1] - g[0] >= 1000]
+    show = lambda ranges: "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+    return f"[^{show(wide)}]", f"[{show(runs)}]"
+
+
 def normalised(table: DataFrame, text: str) -> bool:
-    """Whether every text is NFKC already, so that scoring can read the column as it is."""
-    odd = table.where(F.expr(f"NOT ({text} RLIKE '^\\\\p{{ASCII}}*$')"))
-    return odd.where(F.expr(f"quernel_nfkc({text}) <> {text}")).isEmpty()
+    """Whether no text has anything that NFKC might change, so that scoring can read the column as it is."""
+    quick, exact = map(quote, _suspects())
+    return table.where(F.expr(f"{text} RLIKE {quick} AND {text} RLIKE {exact}")).isEmpty()
