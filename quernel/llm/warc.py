@@ -20,7 +20,9 @@ payload are all responses; a null id never is the largest unless all are null, a
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+import itertools
 import json
 import uuid
 import zlib
@@ -212,38 +214,36 @@ def merge_index(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         ranked = keys.repartitionByRange(parts, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k"))
         cuts = sorted(r.k for r in ranked.collect())[1:]
     ranges = [(i, lo, hi) for i, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None]))]
-    runs = [(r.base, r.n) for r in manifest.select("base", "n").collect()] if total else []
-    table = manifest.sparkSession
-    places = f"{runs[0][0].rpartition('/')[0]}/manifest" if runs else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import bisect
-
-        import pyarrow.parquet as pq
-
-        sparse = None
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Which part of each run's file holds each range, by the run's own sparse index."""
         for batch in batches:
-            if sparse is None:
-                fs, path = filesystem(places)
-                sparse = pq.read_table(path, filesystem=fs, columns=["base", "run_bytes", "sparse", "places"]).to_pylist()
-            for part, low, high in zip(*(c.to_pylist() for c in batch.columns)):
-                own = []
-                for r in sparse:
-                    a = 0 if low is None else max(0, bisect.bisect_left(r["sparse"], low) - 1)
-                    b = len(r["places"]) if high is None else bisect.bisect_left(r["sparse"], high)
-                    own.append(_lines(r["base"], r["places"][a], r["places"][b] if b < len(r["places"]) else r["run_bytes"], low, high))
-                out: list[Capture] = []
-                seq = 0
-                for c in LoserTree(own):
-                    out.append(c)
-                    if len(out) == 8192:
-                        yield _captures(part, seq, out)
-                        seq, out = seq + len(out), []
-                if out:
+            out: list[tuple] = []
+            for base, size, sparse, places in zip(*(c.to_pylist() for c in batch.columns)):
+                for part, low, high in ranges:
+                    a = 0 if low is None else max(0, bisect.bisect_left(sparse, low) - 1)
+                    b = len(places) if high is None else bisect.bisect_left(sparse, high)
+                    if b > 0:
+                        out.append((part, base, places[a], places[b] if b < len(places) else size))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "base", "start", "end"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for part, own in itertools.groupby(rows, key=lambda r: r[0]):
+            _, low, high = ranges[part]
+            out: list[Capture] = []
+            seq = 0
+            for c in LoserTree([_lines(base, start, end, low, high) for _, base, start, end in own]):
+                out.append(c)
+                if len(out) == 8192:
                     yield _captures(part, seq, out)
-
-    df = table.createDataFrame(ranges if runs else [], "part int, low string, high string").repartition(max(1, len(ranges)), "part")
-    return df.mapInArrow(run, "part int, seq long, url_key string, stamp string, page_id long, url string, digest string, record_type string, file string, offset long, length long")
+                    seq, out = seq + len(out), []
+            if out:
+                yield _captures(part, seq, out)
+
+    # a merging task gets a row per run: as many as there were writing tasks
+    found = manifest.select("base", "run_bytes", "sparse", "places").mapInArrow(lean(spans), "part int, base string, start long, end long")
+    found = found.repartition(len(ranges), "part").sortWithinPartitions("part", "base")
+    return found.mapInArrow(lean(merge), "part int, seq long, url_key string, stamp string, page_id long, url string, digest string, record_type string, file string, offset long, length long")
 
 
 def _captures(part: int, seq: int, rows: list[Capture]) -> pa.RecordBatch:
