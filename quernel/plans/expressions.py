@@ -39,6 +39,8 @@ class Scope:
     columns: dict[tuple[str, str], Compiled] = field(default_factory=dict)
     subquery: object = None
     views: list[str] = field(default_factory=list)
+    #: whether IN (SELECT ..) is a value here, so that its NULL shows; in a filter NULL and false are alike, and a semi join does
+    shows_null: bool = False
 
     def find(self, qualifier: str | None, name: str) -> Compiled:
         if qualifier is not None:
@@ -187,6 +189,10 @@ def compile_expr(e: Expr, scope: Scope) -> Compiled:
         sides = _comparable(a, ("c0", kind_of(df.schema[0].dataType)))
         if sides is None:
             return f"CASE WHEN {a[0]} IS NOT NULL THEN {'true' if e[3] else 'false'} END", "bool"
+        if scope.shows_null:
+            some, null = f"(SELECT count(*) FROM (SELECT * FROM {name} LIMIT 1)) > 0", f"(SELECT count(*) FROM (SELECT * FROM {name} WHERE c0 IS NULL LIMIT 1)) > 0"
+            hit = f"CASE WHEN {a[0]} IS NULL AND {some} THEN NULL WHEN {sides[0]} IN (SELECT {sides[1]} FROM {name}) THEN true WHEN {null} THEN NULL ELSE false END"
+            return (f"(NOT {hit})" if e[3] else hit), "bool"
         return f"({sides[0]} {'NOT ' if e[3] else ''}IN (SELECT {sides[1]} FROM {name}))", "bool"
     if node == "func":
         return _function(e, scope)

@@ -109,7 +109,9 @@ class Planner:
             having, orders, key = [back(e) for e in having], [back(e) for e in orders], []
         for h in having:
             df = df.where(truth(compile_expr(h, scope)))
+        scope.shows_null = True
         out = [F.expr(projected(compile_expr(e, scope))).alias(name) for (e, _), name in zip(items, names)]
+        scope.shows_null = False
         sort = [compile_expr(e, scope)[0] for e in orders]
         if q.distinct:
             texts = {compile_expr(e, scope)[0]: name for (e, _), name in zip(items, names)}

@@ -71,6 +71,8 @@ def orders(spark):
         ("SELECT name FROM users WHERE id IN (SELECT user_id FROM buys) ORDER BY name", [("Alice",), ("Bob",)]),
         ("SELECT name FROM users WHERE id NOT IN (SELECT user_id FROM buys)", []),
         ("SELECT name FROM users WHERE EXISTS (SELECT 1 FROM buys WHERE id > 100) OR id = (SELECT MAX(id) FROM users)", [("Charlie",)]),
+        ("SELECT id, id IN (SELECT user_id FROM buys), NULLIF(id, 1) NOT IN (SELECT user_id FROM buys WHERE user_id > 1) FROM users ORDER BY id", [(1, 1, None), (2, 1, 0), (3, None, 1)]),
+        ("SELECT NULL IN (SELECT id FROM users WHERE id > 9), 1 NOT IN (SELECT id FROM users WHERE id > 9)", [(0, 1)]),
         ("SELECT id FROM users UNION SELECT user_id FROM buys WHERE user_id > 0 ORDER BY id", [(1,), (2,), (3,)]),
         ("SELECT id FROM users UNION ALL SELECT id FROM users ORDER BY id LIMIT 3", [(1,), (1,), (2,)]),
     ],
