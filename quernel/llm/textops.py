@@ -40,7 +40,7 @@ def lean(run: Callable) -> Callable:
 
 def bounded_batches(spark) -> None:
     """Cut Arrow batches by size, too: with long texts, thousands of rows are more than a worker should hold."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # Spark's default
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") == "67108864b":  # Spark's default
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 #: bytes of text that are hashed at once; bounds the working memory of a task whatever the batch.
 SLICE = 1 << 19
