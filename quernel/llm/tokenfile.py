@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .shared import filesystem, new_dir
 from .textops import U64, bounded_batches, buffers, lean, slices, span_hashes
@@ -359,12 +359,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
     made = ordered.select("id", "text").mapInArrow(lean(_writer(folder, tokenizer, end_id)), "uri string, nulls boolean, first_id long, n_docs long, n_ids long")
     made = made.withColumn("part", F.spark_partition_id())
     made.write.parquet(f"{folder}/manifest")
-    # a row per file: the driver holds a few dozen bytes for every FILE_BYTES of text
-    rows, base, out = spark.read.parquet(f"{folder}/manifest").orderBy("part").collect(), 0, []
-    for i, r in enumerate(rows):
-        out.append((i, r.uri, r.n_docs, r.n_ids, base))
-        base += r.n_ids
-    return spark.createDataFrame(out, "part long, uri string, n_docs long, n_ids long, base long")
+    # a row per file: a running sum over them is one small task, and nothing comes to the driver
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    manifest = spark.read.schema(made.schema).parquet(f"{folder}/manifest")
+    return manifest.select(F.col("part").cast("long"), "uri", "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")).alias("base"))
 
 
 def read_tokens(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
