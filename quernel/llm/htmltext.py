@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import materialize
 from .textops import U64, bounded_batches, lean, mix
 from .urlfilter import host_of
 
@@ -37,8 +38,10 @@ LEAST_PAGES, SUPPORT = 4, 0.5
 ARTICLE_PAGES, ARTICLE_SUPPORT = 12, 0.95
 #: blocks of up to so many words are also taken word by word
 SHORT = 12
-#: a hot host's pages are spread over so many join keys
-SALTS = 8
+#: templates of up to so many tokens in all (8 bytes each) are broadcast; larger ones are joined
+BROADCAST_TOKENS = 4_000_000
+#: in that join, a hot host's pages are spread over so many keys
+SALTS = 64
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -55,6 +58,8 @@ _WORDS = frozenset(
     comment comments commentlist disqus respond reply replies discussion discussions feedback share sharing shares social related recommended recommendations more-stories trending popular
     newsletter subscribe subscription signup login register popup popups modal overlay widget widgets pagination pager paywall skip copyright legal search searchbox searchform form forms""".split()
 )
+#: beginnings of such words, in names written together
+_STEMS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "navbar", "newsletter", "noticeb", "popup", "sidebar", "sponsor", "subscri")
 _HEADERS = frozenset(["header", "head", "masthead", "topbar"])
 _COMMENTS = frozenset("comment comments reply replies respond disqus related recommended teaser".split())
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -75,14 +80,14 @@ def _zone(tag: str, attributes: str) -> tuple[bool, bool, str]:
     if attributes:
         for k, v in _ATTRIBUTE.findall(attributes):
             own.setdefault(k.lower(), v.strip("\"'"))
-    names = f"{own.get('class', '')} {own.get('id', '')}".strip()
+    names = f"{own.get('class', '')} {own.get('id', '')} {tag if '-' in tag else ''}".strip()
     if tag in ("html", "body", "main"):
         return False, False, ""
     words = {w.lower() for w in _SPLIT.findall(names)} if names else frozenset()
     if tag == "article":
         return bool(words & _COMMENTS), False, ""
     hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
-    out = tag in _OUT or hidden or own.get("role", "").lower() in _ROLES or bool(words & _WORDS)
+    out = tag in _OUT or hidden or own.get("role", "").lower() in _ROLES or bool(words & _WORDS) or any(w.startswith(_STEMS) for w in words)
     return out, tag == "header" or bool(words & _HEADERS), " ".join(sorted(own.get("class", "").split()))
 
 
@@ -108,7 +113,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
     while at < size:
         m = _TOKEN.search(page, at)
         end = m.start() if m else size
-        if end > at:
+        if end > at and not (stack[-1][2] and stack[-1][0] not in _BLOCK and not _outer(stack)):
             text = page[at:end]
             parts.append(text)
             if link_depth:
@@ -162,7 +167,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
         if tag == "a":
             link_depth += 1
         _, path, out, article, header, heading = stack[-1]
-        own_out, own_header, names = _zone(tag, attributes) if tag in _BLOCK or attributes or tag in _OUT else (False, False, "")
+        own_out, own_header, names = _zone(tag, attributes) if tag in _BLOCK or attributes or tag in _OUT or "-" in tag else (False, False, "")
         if tag in _BLOCK:
             path = f"{path}/{tag}" + (f".{names}" if names else "")
             paths.append(path)
@@ -173,6 +178,11 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
     return blocks, paths
 
 
+def _outer(stack: list[tuple]) -> bool:
+    """Whether the innermost block element is boilerplate, whatever the inline elements in it are."""
+    return next((x[2] for x in reversed(stack) if x[0] in _BLOCK), False)
+
+
 def _hash(path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{path}\0{text}") - (1 << 63)
 
@@ -270,10 +280,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url = F.col(url_col).cast("string")
     df = pages.select(F.col(id_col).alias("id"), url.alias("url"), F.col(html_col).cast("string").alias("html"))
     df = df.withColumn("host", F.xxhash64(host_of(F.col("url"))))
-    template = templates(df.withColumn("seed", F.xxhash64("id", "url")))
-    template = template.select(F.col("host").alias("t_host"), "often", "always", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("t_salt"))
-    salted = df.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(template, (F.col("host") == F.col("t_host")) & (F.col("salt") == F.col("t_salt")), "left").select("id", "url", "html", "often", "always")
+    template = materialize(pages.sparkSession, templates(df.withColumn("seed", F.xxhash64("id", "url"))), "templates")
+    tokens = template.agg(F.sum(F.size("often") + F.size("always") + 3)).first()[0] or 0
+    template = template.withColumnRenamed("host", "t_host")
+    if tokens <= BROADCAST_TOKENS:
+        joined = df.join(F.broadcast(template), F.col("host") == F.col("t_host"), "left")
+    else:
+        template = template.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = df.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(template, (F.col("host") == F.col("t_host")) & (F.col("salt") == F.col("t_salt")), "left")
+    joined = joined.select("id", "url", "html", "often", "always")
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches):

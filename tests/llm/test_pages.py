@@ -78,13 +78,17 @@ def test_small_payloads_are_responses(spark):
         ("<article><p>open", "open"),
         ("<ARTICLE><P CLASS=\"a'b\">q &copy; &#x41; &bogus;</P><p hidden>h</p></ARTICLE>", "q © A &bogus;"),
         ("plain text\n  only", "plain text only"),
+        ("<article><p>a <span class=ad>buy</span> b</p><p class='noticebox'>n</p><ad-slot>x</ad-slot><div id=readerComments><p>c</p></div><button>go</button></article>", "a b"),
+        ("<article><header><h1>Head</h1><p>by line</p></header><p>one</p><nav>n</nav><p>one</p></article>", "Head\none\none"),
     ],
 )
 def test_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
-def test_template_of_a_host(spark):
+@pytest.mark.parametrize("broadcast", [4_000_000, 0])
+def test_template_of_a_host(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(htmltext, "BROADCAST_TOKENS", broadcast)
     rows = []
     for i in range(30):
         rows.append((i, f"http://www.site.com/{i}", f"<html><body><div class='w'><p>Welcome to our portal</p><p>All rights reserved</p></div><div class='c'><p>Story {i} begins here with words.</p><p>More of {i}.</p></div></body></html>"))
