@@ -126,38 +126,49 @@ def _presence(weights: np.ndarray, slots: np.ndarray, rows: np.ndarray) -> np.nd
 
 
 def _sparse(presence: bool):
-    """Row features for training: (label, slots as bytes, values as bytes)."""
+    """Row features for training: id, labels, slots and values as bytes.
+
+    A task gives one row for each id, the least by size and checksum, so an id that many rows share stays one example.
+    """
 
     def run(batches):
+        best: dict[str, tuple] = {}
         for batch in batches:
             raw, offsets = buffers(batch.column(0))
-            slots_out, values_out = [], []
+            ids, labels = batch.column(2).to_pylist(), batch.column(1).to_pylist()
             for i, j in slices(offsets):
                 a, b = int(offsets[i]), int(offsets[j])
                 slots, rows = features(raw[a:b], offsets[i : j + 1] - a)
                 for r in range(j - i):
                     own, count = np.unique(slots[:, rows[r] : rows[r + 1]], return_counts=True)
                     count = count[own != 0].astype(np.float32)
-                    own = own[own != 0]
+                    own = own[own != 0].astype(np.int32)
                     values = np.minimum(count, 1) if presence else count * np.float32(SCALE / max(rows[r + 1] - rows[r], 1))
-                    slots_out.append(own.astype(np.int32).tobytes())
-                    values_out.append(values.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(slots_out, pa.binary()), pa.array(values_out, pa.binary())], names=["y", "slots", "x"])
+                    key = (len(own), zlib.crc32(own), zlib.crc32(values))
+                    if ids[i + r] not in best or key < best[ids[i + r]][0]:
+                        best[ids[i + r]] = (key, labels[i + r], own.tobytes(), values.tobytes())
+        names = list(best)
+        for k in range(0, len(names), 1000):
+            part = [best[n] for n in names[k : k + 1000]]
+            yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 1000], pa.string()), pa.array([x[1] for x in part], pa.list_(pa.float64())), pa.array([x[2] for x in part], pa.binary()), pa.array([x[3] for x in part], pa.binary())], names=["id", "y", "slots", "x"])
 
     return run
 
 
 def _fit(max_rows: int, n_labels: int, epochs: int, options: dict):
     def run(batches):
-        # (slots, values, labels, order): views of the batches, so the rows are held once
-        rows: list[tuple] = []
+        # id -> (slots, values, labels, order): views of the batches, so the rows are held once
+        best: dict[str, tuple] = {}
         for batch in batches:
-            at = np.frombuffer(batch.column(1).buffers()[1], np.int32, batch.num_rows + 1, batch.column(1).offset * 4) // 4
-            slots, values = (np.frombuffer(batch.column(c).buffers()[2] or b"", kind) for c, kind in ((1, np.int32), (2, np.float32)))
-            for r, y in enumerate(batch.column(0).to_pylist()):
-                own = slots[at[r] : at[r + 1]]
-                rows.append((own, values[at[r] : at[r + 1]], y, (len(own), zlib.crc32(own), tuple(y))))
-        rows.sort(key=lambda r: r[3])  # the fit doesn't depend on the order of arrival
+            at = np.frombuffer(batch.column(2).buffers()[1], np.int32, batch.num_rows + 1, batch.column(2).offset * 4) // 4
+            slots, values = (np.frombuffer(batch.column(c).buffers()[2] or b"", kind) for c, kind in ((2, np.int32), (3, np.float32)))
+            for r, (name, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                own, x = slots[at[r] : at[r + 1]], values[at[r] : at[r + 1]]
+                key = (len(own), zlib.crc32(own), zlib.crc32(x), tuple(y))
+                if name not in best or key < best[name][3]:
+                    best[name] = (own, x, y, key)
+        rows = sorted(best.values(), key=lambda r: r[3])  # the fit doesn't depend on the order of arrival
+        del best
         rows = rows[:: max(1, -(-len(rows) // (2 * max_rows)))]
         for k in range(n_labels):
             own = [(i, x, float(y[k])) for i, x, y, _ in rows]
@@ -188,8 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], id_col:
     share = min(1.0, max_rows / max(n, 1))
     picked = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # the bound max_rows on the right side is what makes this broadcast safe
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "__id").select("text", "y")
-    found = rows.mapInArrow(lean(_sparse(presence)), "y array<double>, slots binary, x binary").repartition(1).mapInArrow(lean(_fit(max_rows, len(names), epochs, options)), "k int, w binary").collect()
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "__id").select("text", "y", F.col("__id").cast("string").alias("id"))
+    found = rows.mapInArrow(lean(_sparse(presence)), "id string, y array<double>, slots binary, x binary").repartition(1).mapInArrow(lean(_fit(max_rows, len(names), epochs, options)), "k int, w binary").collect()
     weights = {r.k: np.frombuffer(r.w, np.float32) for r in found}
     return {t: Scorer(weights.get(i, _constant([])), presence) for i, t in enumerate(names)}
 

@@ -100,6 +100,8 @@ def test_quality(spark, docs_of, edge_docs):
     again = quality.quality_scorer(docs.repartition(7), flipped.repartition(3))
     assert (again.weights == scorer.weights).all(), "the fit doesn't depend on partitions"
     assert quality.score_quality(edge_docs, scorer).count() == edge_docs.count() and quality.keep_good(docs_of([]), scorer).count() == 0
+    repeated = docs_of([*rows, *[rows[7]] * 500, (900, None), (901, "")])
+    assert (quality.quality_scorer(repeated, flipped).weights == scorer.weights).all(), "an id that many rows share is one example"
     none = quality.quality_scorer(docs, labels.where("false"))
     assert {r.score for r in quality.score_quality(edge_docs, none).collect()} == {0.5}
 
