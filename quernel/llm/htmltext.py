@@ -10,11 +10,10 @@ are its slots, and of these the slots of the article are the text.
 
 The article is what ``article`` or ``main`` elements hold, without menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments, told by tags, roles and class words; where a page has no such element, it is the slots outside
-those, without text of the template and blocks that are mostly links.  Template text within an article goes only if nearly all pages
-of a well-known host have it.
+those, without text of the template and blocks that are mostly links.  Nothing within an article is taken for template text.
 
 Defined cases: a null page is empty and gives an empty text; pages without a host are a host of their own;
-hosts of few pages have no template; repeated rows count as pages.
+hosts of few pages have no template; a host's rows of equal html count as one page, however many they are.
 """
 
 from __future__ import annotations
@@ -34,12 +33,12 @@ from .urlfilter import host_of
 
 #: pages that a host needs for a template; share of its pages that a template token needs
 LEAST_PAGES, SUPPORT = 4, 0.5
-#: the same for text within an article
-ARTICLE_PAGES, ARTICLE_SUPPORT = 12, 0.95
 #: blocks of up to so many words are also taken word by word
 SHORT = 12
 #: templates of up to so many tokens in all (8 bytes each) are broadcast; larger ones are joined
 BROADCAST_TOKENS = 4_000_000
+#: the same for repeated contents, each of which takes as much as so many tokens
+CONTENT_TOKENS = 8
 #: in that join, a hot host's pages are spread over so many keys
 SALTS = 64
 
@@ -201,11 +200,11 @@ def _tokens(blocks: list[Block], paths: list[str]) -> Counter:
 
 
 def _stats(batches):
-    """Per batch and host: each token's pages, fingerprint halves, kind (1: tag path) and parent path."""
+    """Per batch and host: each token's pages (a row is a share of its page), fingerprint halves, kind (1: tag path) and parent path."""
     for batch in batches:
-        hosts, pages, seeds = (c.to_pylist() for c in batch.columns)
-        total: dict[tuple[int, int], list[int]] = {}
-        for host, page, seed in zip(hosts, pages, seeds):
+        hosts, pages, seeds, shares = (c.to_pylist() for c in batch.columns)
+        total: dict[tuple[int, int], list] = {}
+        for host, page, seed, share in zip(hosts, pages, seeds, shares):
             blocks, paths = parse(page or "")
             tags = {_hash(p): _hash(p.rpartition("/")[0]) for p in paths}
             tags[_hash("")] = _hash("")  # every page has the root: it counts the pages of a host
@@ -215,26 +214,28 @@ def _stats(batches):
             with np.errstate(over="ignore"):
                 f = mix(np.fromiter(tokens.values(), U64, len(tokens)) * U64(0x9E3779B97F4A7C15) + np.array(seed, np.int64).astype(U64))
             for t, x in zip(names.tolist(), f.tolist()):
-                own = total.setdefault((host, t), [0, 0, 0, tags.get(t)])
-                own[0] += 1
+                own = total.setdefault((host, t), [0.0, 0, 0, tags.get(t)])
+                own[0] += share
                 own[1] += x >> 32
                 own[2] += x & 0xFFFFFFFF
         keys = list(total)
         values = list(total.values())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), *[pa.array([v[i] for v in values], pa.int64()) for i in range(4)]],
+            [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), *[pa.array([v[i] for v in values], pa.int64() if i else pa.float64()) for i in range(4)]],
             names=["host", "token", "n", "hi", "lo", "parent"],
         )
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, often, always): per host the tokens of its template, and those that nearly all pages have.
+    """(host, often): per host the tokens of its template.
 
-    pages: host long, html, seed long.  A host's row is bounded by its pages' size: a token that half of the pages have
+    pages: host long, html, seed long (equal for equal html of a host), share double (1 / rows of the seed).  A host's row is bounded by its pages' size: a token that half of the pages have
     takes up half a token of the average page, so there are at most twice as many as an average page has.
     """
-    tokens = pages.select("host", "html", "seed").mapInArrow(lean(_stats), "host long, token long, n long, hi long, lo long, parent long")
-    tokens = tokens.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("n", "hi", "lo")], F.max("parent").alias("parent"))
+    tokens = pages.select("host", "html", "seed", "share").mapInArrow(lean(_stats), "host long, token long, n double, hi long, lo long, parent long")
+    # the shares of a page's rows make 1 but for rounding: sums are whole numbers of pages
+    n = F.round(F.sum("n")).cast("long").alias("n")
+    tokens = tokens.groupBy("host", "token").agg(n, *[F.sum(c).alias(c) for c in ("hi", "lo")], F.max("parent").alias("parent"))
     some = tokens.where(f"n >= {LEAST_PAGES} * {SUPPORT}")
     hosts = some.where(F.col("token") == _hash("")).select("host", F.col("n").alias("pages")).where(f"pages >= {LEAST_PAGES}")
     often = some.join(hosts, "host").where(f"n >= {SUPPORT} * pages")
@@ -243,33 +244,43 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def deduce(batches):
         for batch in batches:
-            out: list[tuple[int, list[int], list[int]]] = []
+            out: list[tuple[int, list[int]]] = []
             for key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 classes: dict[tuple, list[dict]] = {}
                 for t in own:
                     classes.setdefault((t["n"], t["hi"], t["lo"]), []).append(t)
                 seen = {t["token"]: t["n"] for t in own}
                 often: list[int] = []
-                always: list[int] = []
                 for (n, _, _), members in classes.items():
                     nested = [t for t in members if t["parent"] is None or seen.get(t["parent"], 0) >= n]
                     if len(nested) < 2:
                         continue
                     often += [t["token"] for t in nested]
-                    if n >= ARTICLE_PAGES and n >= ARTICLE_SUPPORT * members[0]["pages"]:
-                        always += [t["token"] for t in nested if t["parent"] is None]
-                out.append((key, sorted(often), sorted(always)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *[pa.array([r[i] for r in out], pa.list_(pa.int64())) for i in (1, 2)]], names=["host", "often", "always"])
+                out.append((key, sorted(often)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.list_(pa.int64()))], names=["host", "often"])
 
-    return host.mapInArrow(deduce, "host long, often array<long>, always array<long>")
+    return host.mapInArrow(deduce, "host long, often array<long>")
 
 
-def main_text(page: str, often: frozenset[int] = frozenset(), always: frozenset[int] = frozenset()) -> str:
+def _shared(pages: DataFrame) -> DataFrame:
+    """pages with seed, a hash of host and html, and share, 1 / rows of that seed.
+
+    Only hashes are shuffled, and only contents that repeat are joined; too many of them for a broadcast shuffle the pages.
+    """
+    pages = pages.withColumn("seed", F.xxhash64("host", F.coalesce("html", F.lit(""))))
+    again = pages.groupBy("seed").agg(F.count("*").alias("rows")).where("rows > 1")
+    again = materialize(pages.sparkSession, again, "contents")
+    if again.count() * CONTENT_TOKENS <= BROADCAST_TOKENS:
+        again = F.broadcast(again)
+    return pages.join(again, "seed", "left").withColumn("share", F.lit(1.0) / F.coalesce("rows", F.lit(1)))
+
+
+def main_text(page: str, often: frozenset[int] = frozenset()) -> str:
     """The text of the article's slots."""
     blocks, _ = parse(page)
     inside = [b for b in blocks if b.article and not b.out]
     if inside:
-        return "\n".join(b.text for b in inside if _hash(b.path, b.text) not in always)
+        return "\n".join(b.text for b in inside)
     slots = [b for b in blocks if not b.out and _hash(b.path, b.text) not in often and b.links * 2 <= len(b.text)]
     return "\n".join(b.text for b in slots)
 
@@ -280,8 +291,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url = F.col(url_col).cast("string")
     df = pages.select(F.col(id_col).alias("id"), url.alias("url"), F.col(html_col).cast("string").alias("html"))
     df = df.withColumn("host", F.xxhash64(host_of(F.col("url"))))
-    template = materialize(pages.sparkSession, templates(df.withColumn("seed", F.xxhash64("id", "url"))), "templates")
-    tokens = template.agg(F.sum(F.size("often") + F.size("always") + 3)).first()[0] or 0
+    template = materialize(pages.sparkSession, templates(_shared(df.select("host", "html"))), "templates")
+    tokens = template.agg(F.sum(F.size("often") + 2)).first()[0] or 0
     template = template.withColumnRenamed("host", "t_host")
     if tokens <= BROADCAST_TOKENS:
         joined = df.join(F.broadcast(template), F.col("host") == F.col("t_host"), "left")
@@ -289,18 +300,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         template = template.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = df.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
         joined = salted.join(template, (F.col("host") == F.col("t_host")) & (F.col("salt") == F.col("t_salt")), "left")
-    joined = joined.select("id", "url", "html", "often", "always")
+    joined = joined.select("id", "url", "html", "often")
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches):
         made: dict[tuple, frozenset[int]] = {}
         for batch in batches:
             texts = []
-            for page, *sets in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                keys = [tuple(s or ()) for s in sets]
+            for page, often in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                key = tuple(often or ())
                 if len(made) > 10_000:
                     made.clear()
-                texts.append(main_text(page or "", *[made.setdefault(k, frozenset(k)) for k in keys]))
+                texts.append(main_text(page or "", made.setdefault(key, frozenset(key))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(lean(run), f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

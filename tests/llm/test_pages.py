@@ -109,6 +109,25 @@ def test_shared_passages_stay(spark):
     assert all(r.text == f"Own {r.page_id}." + (f"\n{line}" if r.page_id % 3 else "") for r in got)
 
 
+@pytest.mark.parametrize("broadcast", [4_000_000, 0])
+def test_repeated_pages_keep_their_text(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(htmltext, "BROADCAST_TOKENS", broadcast)
+    article = "<body><nav><p>a menu</p></nav><article><h1>Head line</h1><p>The one article of its host.</p></article></body>"
+    plain = "<body><div><p>First words of the text.</p><p>Second words of it.</p></div></body>"
+    rows = [(i, f"http://copies.com/{i}", article) for i in range(20)] + [(20, "http://copies.com/other", article.replace("one", "other"))]
+    # captures of one article at different times are different contents
+    rows += [(30 + i, "http://captured.com/x", article.replace("a menu", f"at {i}")) for i in range(20)]
+    rows += [(60 + i, f"http://plain.com/{i}", plain) for i in range(20)] + [(80, "http://plain.com/x", "<p>Else</p>"), (81, "http://plain.com/y", None), (82, "http://plain.com/z", "")]
+    # ten pages, each of them twice and one of them ten times, have a template as they have once
+    body = "<div class='w'><p>Welcome to our portal</p><p>All rights reserved</p></div><p>Story {} begins here.</p>"
+    rows += [(100 + i, f"http://twice.com/{i}", body.format(i % 10)) for i in range(20)] + [(120 + i, "http://twice.com/0", body.format(0)) for i in range(8)]
+    got = {r.page_id: r for r in htmltext.extract(pages(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got.values())
+    assert all(got[i].text == "Head line\nThe one article of its host." for i in [*range(20), *range(30, 50)])
+    assert all(got[i].text == "First words of the text.\nSecond words of it." for i in range(60, 80))
+    assert all(got[100 + i].text == f"Story {i % 10 if i < 20 else 0} begins here." for i in range(28))
+
+
 # URLs
 
 
