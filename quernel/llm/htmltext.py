@@ -12,6 +12,10 @@ The article is what ``article`` or ``main`` elements hold, without menus, header
 scripts, styles and reader comments, told by tags, roles and class words; where a page has no such element, it is the slots outside
 those, without text of the template and blocks that are mostly links.  Nothing within an article is taken for template text.
 
+A class word says less of what a wrapper holds than an article in it does: names that say what a layout has or lacks (``has-sidebar``)
+mark nothing; other words, and a form, lose their mark at an article or main below them.  An article stays out below a menu, a footer, a sidebar or
+hidden elements, and below a wrapper named wholly by such words (``sidebar``, ``related posts``), unless no other article is left.
+
 Defined cases: a null page is empty and gives an empty text; pages without a host are a host of their own;
 hosts of few pages have no template; a host's rows of equal html count as one page, however many they are.
 """
@@ -61,32 +65,48 @@ _WORDS = frozenset(
 _STEMS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "navbar", "newsletter", "noticeb", "popup", "sidebar", "sponsor", "subscri")
 _HEADERS = frozenset(["header", "head", "masthead", "topbar"])
 _COMMENTS = frozenset("comment comments reply replies respond disqus related recommended teaser".split())
+#: in names of what a layout has, lacks or allows
+_LAYOUT, _STATES = frozenset("has no with without".split()), frozenset("open closed enabled disabled on off".split())
+#: how boilerplate an element is: an article in a wrapper of the third degree; not; by a word of a mixed name or a form; by a whole name; by tag, role or being hidden
+WRAPPED, NOT, WEAK, NAMED, FIRM = -1, 0, 1, 2, 3
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 class Block:
     """A run of text between block boundaries."""
 
-    __slots__ = ("article", "heading", "links", "out", "path", "text")
+    __slots__ = ("article", "heading", "links", "out", "path", "text", "wrapped")
+
+    def __init__(self, text: str, path: str, out: bool, article: bool, heading: bool, links: int, wrapped: bool):
+        self.text, self.path, self.out, self.article, self.heading, self.links, self.wrapped = text, path, out, article, heading, links, wrapped
 
-    def __init__(self, text: str, path: str, out: bool, article: bool, heading: bool, links: int):
-        self.text, self.path, self.out, self.article, self.heading, self.links = text, path, out, article, heading, links
 
+def _boilerplate(word: str) -> bool:
+    return word in _WORDS or word.startswith(_STEMS)
 
-def _zone(tag: str, attributes: str) -> tuple[bool, bool, str]:
-    """(boilerplate, header, class words for the path) of an element by its own tag and attributes."""
+
+def _zone(tag: str, attributes: str) -> tuple[int, bool, str]:
+    """(degree of boilerplate, header, class words for the path) of an element by its own tag and attributes."""
     own = {}
     if attributes:
         for k, v in _ATTRIBUTE.findall(attributes):
             own.setdefault(k.lower(), v.strip("\"'"))
     names = f"{own.get('class', '')} {own.get('id', '')} {tag if '-' in tag else ''}".strip()
     if tag in ("html", "body", "main"):
-        return False, False, ""
-    words = {w.lower() for w in _SPLIT.findall(names)} if names else frozenset()
+        return NOT, False, ""
+    parts = [{w.lower() for w in _SPLIT.findall(n)} for n in names.split()]
+    parts = [p for p in parts if not p & _LAYOUT]
+    words = frozenset().union(*parts)
     if tag == "article":
-        return bool(words & _COMMENTS), False, ""
+        return FIRM if any(p & _COMMENTS and not p & _STATES for p in parts) else NOT, False, ""
     hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
-    out = tag in _OUT or hidden or own.get("role", "").lower() in _ROLES or bool(words & _WORDS) or any(w.startswith(_STEMS) for w in words)
+    role = own.get("role", "").lower()
+    if tag in _OUT and tag != "form" or hidden or role in _ROLES and role != "form":
+        out = FIRM
+    elif any(p and not p & _STATES and (p & _COMMENTS & _WORDS or all(map(_boilerplate, p))) for p in parts):
+        out = NAMED
+    else:
+        out = WEAK if tag == "form" or role == "form" or any(map(_boilerplate, words)) else NOT
     return out, tag == "header" or bool(words & _HEADERS), " ".join(sorted(own.get("class", "").split()))
 
 
@@ -95,7 +115,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
     blocks: list[Block] = []
     paths: list[str] = []
     # open elements: (tag, path, boilerplate, in article, header, heading)
-    stack: list[tuple[str, str, bool, bool, bool, bool]] = [("", "", False, False, False, False)]
+    stack: list[tuple[str, str, int, bool, bool, bool]] = [("", "", NOT, False, False, False)]
     parts: list[str] = []
     link_depth = links = 0
     at, size = 0, len(page)
@@ -106,13 +126,13 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
         parts.clear()
         if text:
             _, path, out, article, header, heading = stack[-1]
-            blocks.append(Block(text, path, out or header and not (article and heading), article, heading, links))
+            blocks.append(Block(text, path, out > NOT or header and not (article and heading), article, heading, links, out == WRAPPED))
         links = 0
 
     while at < size:
         m = _TOKEN.search(page, at)
         end = m.start() if m else size
-        if end > at and not (stack[-1][2] and stack[-1][0] not in _BLOCK and not _outer(stack)):
+        if end > at and not (stack[-1][2] > NOT and stack[-1][0] not in _BLOCK and not _outer(stack)):
             text = page[at:end]
             parts.append(text)
             if link_depth:
@@ -166,20 +186,24 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
         if tag == "a":
             link_depth += 1
         _, path, out, article, header, heading = stack[-1]
-        own_out, own_header, names = _zone(tag, attributes) if tag in _BLOCK or attributes or tag in _OUT or "-" in tag else (False, False, "")
+        own_out, own_header, names = _zone(tag, attributes) if tag in _BLOCK or attributes or tag in _OUT or "-" in tag else (NOT, False, "")
         if tag in _BLOCK:
             path = f"{path}/{tag}" + (f".{names}" if names else "")
             paths.append(path)
         if tag in ("article", "main") and not own_out:
-            article = True
-        stack.append((tag, path, out or own_out, article, header or own_header, heading or tag in ("h1", "h2", "h3")))
+            if out == WEAK or out == NAMED and tag == "main":
+                out = NOT
+            elif out == NAMED and not article:
+                out = WRAPPED
+            header, article = header and article, True
+        stack.append((tag, path, max(out, own_out) if own_out else out, article, header or own_header, heading or tag in ("h1", "h2", "h3")))
     close()
     return blocks, paths
 
 
 def _outer(stack: list[tuple]) -> bool:
     """Whether the innermost block element is boilerplate, whatever the inline elements in it are."""
-    return next((x[2] for x in reversed(stack) if x[0] in _BLOCK), False)
+    return next((x[2] > NOT for x in reversed(stack) if x[0] in _BLOCK), False)
 
 
 def _hash(path: str, text: str = "") -> int:
@@ -278,10 +302,10 @@ def _shared(pages: DataFrame) -> DataFrame:
 def main_text(page: str, often: frozenset[int] = frozenset()) -> str:
     """The text of the article's slots."""
     blocks, _ = parse(page)
-    inside = [b for b in blocks if b.article and not b.out]
+    inside = [b for b in blocks if b.article and not b.out and not b.wrapped]
     if inside:
         return "\n".join(b.text for b in inside)
-    slots = [b for b in blocks if not b.out and _hash(b.path, b.text) not in often and b.links * 2 <= len(b.text)]
+    slots = [b for b in blocks if not b.out and (b.wrapped or _hash(b.path, b.text) not in often and b.links * 2 <= len(b.text))]
     return "\n".join(b.text for b in slots)
 
 

@@ -109,6 +109,30 @@ def test_shared_passages_stay(spark):
     assert all(r.text == f"Own {r.page_id}." + (f"\n{line}" if r.page_id % 3 else "") for r in got)
 
 
+@pytest.mark.parametrize("names", ["layout has-sidebar", "content no-sidebar", "main with-comments", "single-widget-area", "post comments-open", "site-header-layout", "paywall", "sidebar", "layoutNoSidebar"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+@pytest.mark.parametrize("attribute", ["class", "id"])
+def test_wrappers_with_boilerplate_words(names, tag, attribute):
+    page = f"<body><div class=menu>m</div><div {attribute}='{names}'><{tag}><p>kept</p><div class='sidebar'>side</div></{tag}></div><div class='site-footer'>f</div></body>"
+    assert htmltext.main_text(page) == "kept"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<form id=aspnetForm><div class='layout has-sidebar'><main><p>kept</p><form>f</form></main></div></form>", "kept"),
+        ("<article class='post with-comments'><p>kept</p></article>", "kept"),
+        ("<div class='layout has-sidebar'><p>no article</p></div>", "no article"),
+        ("<article><p>kept</p></article><div class='related'><article>card</article></div><aside><article>a</article></aside><div class=comments><article>c</article></div>", "kept"),
+        ("<article><p>kept</p><div class='related-posts'><article>card</article></div><div class=comments><article>c</article></div></article>", "kept"),
+        ("<div class='related'><article>card</article></div><div><p>text of a page without article</p></div>", "card\ntext of a page without article"),
+        ("<div hidden><article>h</article></div><nav><article>n</article></nav>", ""),
+    ],
+)
+def test_articles_in_wrappers(page, text):
+    assert htmltext.main_text(page) == text
+
+
 @pytest.mark.parametrize("broadcast", [4_000_000, 0])
 def test_repeated_pages_keep_their_text(spark, monkeypatch, broadcast):
     monkeypatch.setattr(htmltext, "BROADCAST_TOKENS", broadcast)
