@@ -6,6 +6,9 @@ bucket of more than ``BLOCK`` members is cut into blocks, and each pair of block
 a task holds at most two blocks, however hot a bucket.  A tile compares its members as matrices and returns,
 per member, how many rows it links with and the least member of its group in the tile: rows in proportion to members.
 A pair that shares several buckets counts in the one with the least key only.
+
+Where a second verification is given, the first only finds the members of tiles that may link: the long payloads that
+the second compares are fetched for those alone, and only their tiles are formed again.
 """
 
 from __future__ import annotations
@@ -23,11 +26,14 @@ from .textops import lean
 BLOCK = 512
 #: (payloads of some members, of others) -> whether each pair links
 Verify = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: (numbers of all members one after another, where each begins, some members, others) -> whether each pair links
+VerifyLong = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def bucket_links(spark: SparkSession, items: DataFrame, verify: Verify, dtype: str) -> tuple[DataFrame, DataFrame]:
+def bucket_links(spark: SparkSession, items: DataFrame, verify: Verify, dtype: str, payloads: Callable[[DataFrame], DataFrame] | None = None, verify_long: VerifyLong | None = None) -> tuple[DataFrame, DataFrame]:
     """items: rep long (unique), copies long, keys array<long> (distinct), payload binary of numbers of dtype.
 
+    payloads takes a table of distinct rep to their (rep, payload) of numbers of dtype uint32, for verify_long.
     Returns (rep, linked: rows of other representatives that rep links with) and edges (big, small)
     that connect what is linked.
     """
@@ -40,13 +46,36 @@ def bucket_links(spark: SparkSession, items: DataFrame, verify: Verify, dtype: s
     tiles = tiles.select("key", "rep", "a", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("b")).select("key", "rep", "a", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
     full = tiles.join(items, "rep")
     full = full.select("key", "i", "j", "a", "rep", "copies", "keys", "payload")
-    found = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(lean(_tiles(verify, dtype)), "rep long, linked long, lead long")
+    if payloads is not None:
+        maybe = _by_tile(full).mapInArrow(lean(_tiles(_some(verify, dtype))), "key long, i int, j int, a int, rep long, copies long, keys array<long>")
+        maybe = materialize(spark, maybe, "maybe")
+        full = maybe.join(payloads(maybe.select("rep").distinct()), "rep").select("key", "i", "j", "a", "rep", "copies", "keys", "payload")
+    found = _by_tile(full).mapInArrow(lean(_tiles(_links(_long(verify_long) if payloads is not None else _matrix(verify, dtype)))), "rep long, linked long, lead long")
     found = materialize(spark, found, "links")
     edges = found.where("rep <> lead").select(F.greatest("rep", "lead").alias("big"), F.least("rep", "lead").alias("small")).distinct()
     return found.groupBy("rep").agg(F.sum("linked").alias("linked")), edges
 
 
-def _tiles(verify: Verify, dtype: str):
+def _by_tile(full: DataFrame) -> DataFrame:
+    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+
+
+def _matrix(verify: Verify, dtype: str):
+    def run(raw: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        x = raw[at[0] : at[-1]].view(dtype).reshape(len(at) - 1, -1)
+        return verify(x[left], x[right])
+
+    return run
+
+
+def _long(verify: VerifyLong):
+    def run(raw: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return verify(raw[at[0] : at[-1]].view(np.uint32), (at - at[0]) // 4, left, right)
+
+    return run
+
+
+def _tiles(held_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
@@ -56,65 +85,87 @@ def _tiles(verify: Verify, dtype: str):
             spot = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
             cut = np.flatnonzero((spot[1:] != spot[:-1]).any(axis=1)) + 1
             if last is not None and (spot[0] != last).any():
-                yield from _held(held, verify, dtype)
+                yield from held_of(held)
                 held = []
             if len(cut):
                 held.append(batch.slice(0, int(cut[-1])))
-                yield from _held(held, verify, dtype)
+                yield from held_of(held)
                 held = [batch.slice(int(cut[-1]))]
             else:
                 held.append(batch)
             last = spot[-1]
-        yield from _held(held, verify, dtype)
+        yield from held_of(held)
 
     return run
 
 
-def _held(held: list[pa.RecordBatch], verify: Verify, dtype: str) -> Iterator[pa.RecordBatch]:
-    """The complete tiles in some batches."""
-    if not held:
-        return
-    t = pa.Table.from_batches(held).combine_chunks()
-    key, i, j, a, rep, copies = (t.column(k).to_numpy() for k in range(6))
-    keys, data = t.column(6).chunk(0), t.column(7).chunk(0)
-    key_at, key_of = keys.offsets.to_numpy(), keys.values.to_numpy()
-    data_at = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4)
+def _pairs(t: pa.Table, linking) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(start, end, members, members that they link with) of the complete tiles in a table."""
+    key, i, j, a = (t.column(k).to_numpy() for k in range(4))
+    data = t.column(7).chunk(0)
+    data_at = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4).astype(np.int64)
     raw = np.frombuffer(data.buffers()[2], np.uint8)
     cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-    out: list[list[np.ndarray]] = [[], [], []]
     for p, q in zip(np.append(0, cut), np.append(cut, len(key))):
-        x = raw[data_at[p] : data_at[q]].view(dtype).reshape(q - p, -1)
         if i[p] == j[p]:
             left = right = np.arange(q - p)
         else:
             left, right = np.flatnonzero(a[p:q] == i[p]), np.flatnonzero(a[p:q] == j[p])
         if not len(left) or not len(right):
             continue
-        u, v = np.nonzero(verify(x[left], x[right]))
+        u, v = np.nonzero(linking(raw, data_at[p : q + 1], left, right))
         if i[p] == j[p]:
             u, v = u[u < v], v[u < v]
-        u, v = left[u], right[v]
-        if not len(u):
-            continue
-        own = [key_of[key_at[r] : key_at[r + 1]] for r in range(p, q)]
-        new = ~_earlier(own, int(key[p]), u, v)
-        linked = np.zeros(q - p, np.int64)
-        np.add.at(linked, u[new], copies[p + v[new]])
-        np.add.at(linked, v[new], copies[p + u[new]])
-        lead = np.arange(q - p)
-        while True:
-            least = np.minimum(lead[u], lead[v])
-            before = lead.copy()
-            np.minimum.at(lead, u, least)
-            np.minimum.at(lead, v, least)
-            if (before == lead).all():
-                break
-        some = np.unique(np.concatenate([u, v]))
-        out[0].append(rep[p + some])
-        out[1].append(linked[some])
-        out[2].append(rep[p + lead[some]])
-    if out[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["rep", "linked", "lead"])
+        if len(u):
+            yield p, q, left[u], right[v]
+
+
+def _some(verify: Verify, dtype: str):
+    """Of complete tiles, the members that may link."""
+
+    def run(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            some = [p + np.unique(np.concatenate([u, v])) for p, _, u, v in _pairs(t, _matrix(verify, dtype))]
+            if some:
+                yield from t.select(range(7)).take(pa.array(np.concatenate(some))).combine_chunks().to_batches()
+
+    return run
+
+
+def _links(linking):
+    """Of complete tiles, each linked member's rows that it links with and least member of its group."""
+
+    def run(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        key, rep, copies = (t.column(k).to_numpy() for k in (0, 4, 5))
+        keys = t.column(6).chunk(0)
+        key_at, key_of = keys.offsets.to_numpy(), keys.values.to_numpy()
+        out: list[list[np.ndarray]] = [[], [], []]
+        for p, q, u, v in _pairs(t, linking):
+            own = [key_of[key_at[r] : key_at[r + 1]] for r in range(p, q)]
+            new = ~_earlier(own, int(key[p]), u, v)
+            linked = np.zeros(q - p, np.int64)
+            np.add.at(linked, u[new], copies[p + v[new]])
+            np.add.at(linked, v[new], copies[p + u[new]])
+            lead = np.arange(q - p)
+            while True:
+                least = np.minimum(lead[u], lead[v])
+                before = lead.copy()
+                np.minimum.at(lead, u, least)
+                np.minimum.at(lead, v, least)
+                if (before == lead).all():
+                    break
+            some = np.unique(np.concatenate([u, v]))
+            out[0].append(rep[p + some])
+            out[1].append(linked[some])
+            out[2].append(rep[p + lead[some]])
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["rep", "linked", "lead"])
+
+    return run
 
 
 def _earlier(own: list[np.ndarray], key: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:

@@ -45,6 +45,37 @@ def occurrences(elements: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return e, cell, r
 
 
+#: elements of up to so many of some rows are counted pair by pair, others by products of matrices of so many elements
+FEW, WIDE = 16, 2048
+
+
+def overlaps(cells: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Common numbers of each two rows, which are distinct within a row."""
+    n = len(offsets) - 1
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    order = np.argsort(cells, kind="stable")
+    c, r = cells[order], row[order]
+    at = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
+    size = np.diff(np.append(at, len(c)))
+    of = np.repeat(size, size)
+    out = np.zeros((n, n))
+    few = (of > 1) & (of <= FEW)
+    a, b = c[few], r[few]
+    for d in range(1, FEW):
+        same = np.flatnonzero(a[d:] == a[:-d])
+        if not len(same):
+            break
+        out += np.bincount(b[same] * n + b[same + d], minlength=n * n).reshape(n, n)
+    out += out.T
+    seat, b = np.repeat(np.cumsum(size > FEW) - 1, size)[of > FEW], r[of > FEW]
+    for k in range(0, int(seat[-1]) + 1 if len(seat) else 0, WIDE):
+        x, y = np.searchsorted(seat, [k, k + WIDE])
+        has = np.zeros((n, WIDE), np.float32)
+        has[b[x:y], seat[x:y] - k] = 1
+        out += has @ has.T
+    return out
+
+
 def signatures(elements: np.ndarray, offsets: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """rows x k dart ids (uint64); a row without elements keeps zeros."""
     n = len(offsets) - 1

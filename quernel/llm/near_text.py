@@ -1,8 +1,10 @@
 """MinHash near-dedup of documents: DartMinHash signatures of weighted word shingles, banded joining.
 
 Texts with the same words form a class (copies); each class has one signature of ``k`` darts and ``k / rows``
-bands.  Classes that share a band are compared: the share of equal darts estimates the weighted Jaccard
-similarity, and at ``threshold`` or more they link.  A document's ``n_links`` counts the documents of its class and
+bands.  Classes that share a band are candidates unless the share of their equal darts, which estimates the weighted Jaccard similarity, is under half of
+``threshold`` (over five standard deviations off).  Candidates link at a weighted Jaccard similarity of ``threshold`` or more, counted over all
+their shingles (of 32-bit hashes: two texts of n and m shingles have n m / 2^32 too many in common).  At the threshold itself, a pair shares a band
+with a chance of 0.99, at 0.5 of 0.998.  A document's ``n_links`` counts the documents of its class and
 of the linked classes; ``component_id`` is the least id reachable by links.
 
 Defined cases: texts without words (null, empty) link with nothing and are kept; repeated rows of an id are copies
@@ -16,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .links import bucket_links, components
-from .minhash import shingles, signatures
+from .minhash import occurrences, overlaps, shingles, signatures
 from .shared import materialize
 from .textops import U64, bounded_batches, buffers, lean, mix, trim, words_of
 
 #: darts of a signature, darts of a band, words of a shingle, least similarity of a link
-K, ROWS, SHINGLE, THRESHOLD = 128, 4, 2, 0.6
+K, ROWS, SHINGLE, THRESHOLD = 144, 3, 2, 0.45
 
 
 def _class_keys(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -78,6 +80,33 @@ def _verify(threshold: float):
     return verify
 
 
+def _verify_long(threshold: float):
+    def verify(cells: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        common, n = overlaps(cells, offsets), np.diff(offsets)
+        return (common / (n[:, None] + n - common) >= threshold)[np.ix_(left, right)]
+
+    return verify
+
+
+def _cells(size: int):
+    """Of texts with words: h1 of the class and the 32-bit hashes of its occurrences of shingles, equal ones once."""
+
+    def run(batches):
+        for batch in batches:
+            (h1, _), some = _class_keys(batch.column(0))
+            raw, offsets = buffers(batch.column(0))
+            cells: list[bytes] = []
+            for _, _, w in words_of(raw, offsets):
+                e, cell, row = occurrences(*shingles(w.hashes, w.offsets, size))
+                with np.errstate(over="ignore"):
+                    x = (mix(e + mix(cell.astype(U64))) >> U64(32)).astype(np.uint32)
+                at = np.searchsorted(row, np.arange(len(w.offsets)))
+                cells += [np.unique(x[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64), mask=~some), pa.array(cells, pa.binary())], names=["rep", "payload"])
+
+    return run
+
+
 def _groups(docs: DataFrame, id_col: str, text_col: str, k: int, rows: int, shingle: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Every document as (id, h1, h2); the classes that have copies or links as (h1, h2, first, n_links, root)."""
     spark = docs.sparkSession
@@ -88,7 +117,12 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, k: int, rows: int, shin
     # all copies have one signature, so the first of each map task stands for them
     classes = signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("payload").alias("payload"))
     classes = materialize(spark, classes.withColumn("rep", F.col("h1")), "classes")
-    linked, edges = bucket_links(spark, classes.select("rep", "copies", "keys", "payload"), _verify(threshold), "uint16")
+
+    def payloads(reps: DataFrame) -> DataFrame:
+        cells = texts.select("text").mapInArrow(lean(_cells(shingle)), "rep long, payload binary").where("rep is not null")
+        return cells.join(reps, "rep").groupBy("rep").agg(F.first("payload").alias("payload"))
+
+    linked, edges = bucket_links(spark, classes.select("rep", "copies", "keys", "payload"), _verify(threshold / 2), "uint16", payloads, _verify_long(threshold))
     root = components(spark, edges)
     groups = classes.select("h1", "h2", "rep", "first", "copies").join(linked, "rep", "left").join(root.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or linked is not null")
     groups = materialize(spark, groups, "groups")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import types as T
 
 from quernel.llm import links, near_text, near_vectors
-from quernel.llm.minhash import shingles, signatures
+from quernel.llm.minhash import overlaps, shingles, signatures
 from quernel.llm.textops import Words, buffers
 
 
@@ -135,6 +135,34 @@ def test_texts_against_brute_force(docs_of, monkeypatch, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if r.kept)
 
 
+def edited(rng, share, size):
+    """A text and a copy of it with a passage put in, so that their similarity is about the share."""
+    base = [f"w{rng.randint(0, 30_000)}" for _ in range(size)]
+    at, new = rng.randrange(size), [f"n{rng.randint(0, 30_000)}" for _ in range(round(size / share) - size)]
+    return " ".join(base), " ".join(base[:at] + new + base[at:])
+
+
+def test_recall_of_edited_copies(docs_of):
+    rng, rows, want = random.Random(4), [], []
+    for i in range(300):
+        a, b = edited(rng, rng.uniform(0.4, 0.7), rng.randint(40, 200))
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        want.append(jaccard(a, b))
+    got = {r.doc_id: r for r in near_text.near_duplicates(docs_of(rows)).collect()}
+    linked = [got[2 * i + 1].component_id == 2 * i for i in range(300)]
+    over = [x for x, j in zip(linked, want) if j >= near_text.THRESHOLD]
+    assert len(over) > 200 and sum(over) / len(over) > 0.985
+    assert not any(x for x, j in zip(linked, want) if j < near_text.THRESHOLD), "links are exact"
+    assert [r.n_links for r in got.values()].count(1) == 2 * sum(linked)
+
+
+def test_overlaps_of_many_rows():
+    rng = np.random.RandomState(2)
+    rows = [np.unique(rng.randint(0, 300, rng.randint(0, 90))).astype(np.uint32) for _ in range(60)]
+    got = overlaps(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+    assert all(got[i, j] == len(np.intersect1d(rows[i], rows[j])) for i in range(60) for j in range(60) if i != j)
+
+
 def test_edge_texts(edge_docs, docs_of):
     got = near_text.near_duplicates(edge_docs).collect()
     assert len(got) == edge_docs.count()
