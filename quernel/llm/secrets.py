@@ -45,6 +45,8 @@ _TOKEN = re.compile(
     r"""|(?P<line>\n)""",
     re.ASCII,
 )
+#: what may lie between a flag and its value
+_BLANKS = re.compile(r"[ \t]*")
 #: an unquoted value: up to the end of the word
 _BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
 
@@ -93,7 +95,7 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
             consider(name_score(m.group("t")), m.span("inner"))
         elif kind == "url":
             consider(NAMES["password"], m.span("pw"))
-        elif kind == "flag" and k + 1 < n and tokens[k + 1].start() - m.end() <= 2 and tokens[k + 1].lastgroup in ("string", "name", "number"):
+        elif kind == "flag" and k + 1 < n and (tokens[k + 1].start() - m.end() <= 2 or _BLANKS.fullmatch(text, m.end(), tokens[k + 1].start())) and tokens[k + 1].lastgroup in ("string", "name", "number"):
             if tokens[k + 1].lastgroup == "string":
                 pairs.append((m.group()[2:], [(tokens[k + 1].start() + 1, tokens[k + 1].end() - 1)], []))
             elif b := _BARE.match(text, tokens[k + 1].start()):
@@ -101,7 +103,7 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
         elif kind in ("name", "string", "flag") and k + 1 < n and tokens[k + 1].lastgroup == "op" and tokens[k + 1].group() in ("=", ":", ":=", "=>", "?=", "+="):
             name = m.group().strip("\"'`-")
             literals, names = _value(text, tokens, k + 2, tokens[k + 1].end(), tokens[k + 1].group())
-            if len(name) <= 80 and (literals or names):
+            if literals or names:
                 pairs.append((name, literals, names))
     # constants: a literal counts for the most sensitive name that its own name's value reaches
     sources: dict[str, set[str]] = {}

@@ -40,6 +40,21 @@ def test_lexer(text, lexed):
     assert [text[a:b] for a, b, k in every if k == "lexed"] == [x for x in lexed if not any(text[a:b].find(x) >= 0 for a, b, _ in base)]
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("a.very.long.configuration.key." * 4 + "db_pwd = 'hT7#kq9Zp2LmX'", ["hT7#kq9Zp2LmX"]),
+        ("a.very.long.configuration.key." * 4 + "credential = cfg\ncfg = 'hT7#kq9Zp2LmX'", ["hT7#kq9Zp2LmX"]),
+        ("{'" + "spring.cloud.stream." * 5 + "private_key': 'hT7#kq9Zp2LmX'}", ["hT7#kq9Zp2LmX"]),
+        ("a.very.long.configuration.key." * 4 + "title = 'hT7#kq9Zp2LmX'", []),
+        ("tool --user me --pwd        hT7kq9Zp2LmX4 \\\n     --passphrase\t\t'x9#Kq2LmZ77'", ["hT7kq9Zp2LmX4", "x9#Kq2LmZ77"]),
+        ("--pwd    \nhT7kq9Zp2LmX4", []),
+    ],
+)
+def test_long_names_and_aligned_flags(text, found):
+    assert [text[a:b] for a, b, _ in secrets.lexed_spans(text)] == found
+
+
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""")
 
 
