@@ -4,9 +4,9 @@ Tokens of a page are its tag paths, its text blocks and the words of its short b
 stands in.  A token's occurrence vector says how often it occurs in each page of a host; tokens of
 equal vectors form a class.  Vectors are compared by an additive fingerprint (a sum over pages of a hash of the page
 and the count), so a host is never gathered anywhere: partial sums are combined before the shuffle, however many pages a host has.
-Classes of at least two tokens that occur in enough of a host's pages, with tag paths among them, are valid when
-their paths nest (each path's parent is in a class at least as frequent); the valid classes, nested, are the host's template.  The rest of a page
-are its slots, and of these the slots of the article are the text.
+Classes of at least two tokens that occur in enough of a host's pages are valid, without those tag paths whose parent is less
+frequent; the tokens of valid classes are the host's template, a set that is not nested by position.  The rest of a page are its slots.
+The template serves pages without an article only; in others, tags, roles and class words alone tell the text.
 
 The article is what ``article`` or ``main`` elements hold, without menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments, told by tags, roles and class words; where a page has no such element, it is the slots outside
