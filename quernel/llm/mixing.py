@@ -13,6 +13,9 @@ The total is set by the ``anchor`` domain: its tokens stay as many as they are,
 of a wanted domain stay.  A rate's whole part is kept copies, its fraction the chance of one more, drawn by a hash of
 id and text.
 
+Tokens are words here (see textops), not the ids of a tokenizer: an unspaced non-ASCII passage is one, whatever its length, so shares by
+token ids may differ.
+
 Defined cases: null and empty texts have no tokens, get rates like others, and are kept by them; labels that are null are
 ignored; without labels all posteriors are equal and all documents alike; rows that repeat id and text have one fate; an empty
 table stays empty.
@@ -30,7 +33,7 @@ from .shared import materialize
 from .textops import bounded_batches, buffers, trim, words_of
 
 DOMAINS = ("low", "good", "toxic")
-#: share of the tokens that each domain is to have
+#: share of the tokens (words) that each domain is to have
 WEIGHTS = {"low": 0.02, "good": 0.94, "toxic": 0.04}
 STEPS, TOLERANCE = 30, 1e-6
 
