@@ -1,30 +1,31 @@
 """HTML extraction: template deduction by equivalence classes of tokens.
 
-Tokens of a page are its tag paths, its text blocks and the words of its short blocks, each with the path it
-stands in.  A token's occurrence vector says how often it occurs in each page of a host; tokens of
-equal vectors form a class.  Vectors are compared by an additive fingerprint (a sum over pages of a hash of the page
-and the count), so a host is never gathered anywhere: partial sums are combined before the shuffle, however many pages a host has.
-Classes of at least two tokens that occur in enough of a host's pages are valid, without those tag paths whose parent is less
-frequent; the tokens of valid classes are the host's template, a set that is not nested by position.  The rest of a page are its slots.
-The template serves pages without an article only; in others, tags, roles and class words alone tell the text.
-
-The article is what ``article`` or ``main`` elements hold, without menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments, told by tags, roles and class words; where a page has no such element, it is the slots outside
-those, without text of the template and blocks that are mostly links.  Nothing within an article is taken for template text.
-
-A class word says less of what a wrapper holds than an article in it does: names that say what a layout has or lacks (``has-sidebar``)
-mark nothing; other words, and a form, lose their mark at an article or main below them.  An article stays out below a menu, a footer, a sidebar or
-hidden elements, and below a wrapper named wholly by such words (``sidebar``, ``related posts``), unless no other article is left.
+Tokens of a page are its tag paths (tag, class names, place among like siblings, below the parent's path) and its text blocks.  A token's
+occurrence vector says how often it occurs in each distinct page of a host; tokens of equal vectors form a class.  Vectors are compared by an
+additive fingerprint (a sum over pages of a hash of the page and the count), so a host is never gathered anywhere: partial sums are
+combined before the shuffle, however many pages a host has.  Classes of at least two tokens that occur in ``SUPPORT`` of the pages are valid; their tag paths
+nest, by parent, into the host's template, a tree of shells.  The text blocks of valid classes are template text; all else are slots.
+
+The main slot is found by descending from the root into the shell that occurs once a page and holds most of the text that neither repeats nor is a
+link, until the text lies loose in the slot itself.  Tags break ties: an ``article`` goes before its siblings, and menus, footers, sidebars and named
+boilerplate don't count.  The text of a page is its main slot; within it only what tags or whole class names say to be a menu, a sidebar, an advert, a notice, a form or
+reader comments is left out, a vaguer word (``related``, ``legal``) only where the template says so too (the shell holds template text or links), and nothing of an ``article`` for
+being repeated.  Before the main slot, a heading and the shell around it stay (title and lead); other shells beside it don't.
+
+Hosts of fewer than ``LEAST_PAGES`` distinct pages have no template (a vector of three pages says too little); there, in pages without the main
+slot's shell, and where nothing of a host varies, ``article`` and ``main`` elements stand for the main slot.  A page without either is taken whole, without boilerplate by
+tag or word, template text, and blocks that are mostly links.
+
+A page is parsed once: blocks and paths are written to the shared folder, and counting and choosing work on those.  An element costs a bounded number of bytes and steps, whatever its depth.
 
 Defined cases: a null page is empty and gives an empty text; pages without a host are a host of their own;
-hosts of few pages have no template; a host's rows of equal html count as one page, however many they are.
+a host's rows of equal html count as one page, however many they are.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,10 @@ from .shared import materialize
 from .textops import U64, bounded_batches, lean, mix
 from .urlfilter import host_of
 
-#: pages that a host needs for a template; share of its pages that a template token needs
+#: distinct pages that a host needs for a template; share of them that a template token needs
 LEAST_PAGES, SUPPORT = 4, 0.5
-#: blocks of up to so many words are also taken word by word
-SHORT = 12
+#: share of a shell's varying text that the next shell down needs; text that may lie loose beside it; share of repeated or linked text that makes a shell boilerplate; least share of an article
+MAJOR, LOOSE, BORING, ARTICLE_SHARE = 0.5, 0.1, 0.5, 0.1
 #: templates of up to so many tokens in all (8 bytes each) are broadcast; larger ones are joined
 BROADCAST_TOKENS = 4_000_000
 #: the same for repeated contents, each of which takes as much as so many tokens
@@ -48,294 +49,478 @@ SALTS = 64
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_TELLING = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
 _RAW = {t: re.compile(rf"</{t}\s*>|\Z", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "template", "svg")}
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "legend", "summary"}
-_OUT = frozenset("nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu head audio video".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
-_WORDS = frozenset(
-    """ad ads adbox adslot advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr
-    notice notices notification notifications disclaimer alert alerts nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs sidebar sidebars aside rail footer foot masthead topbar toolbar
-    comment comments commentlist disqus respond reply replies discussion discussions feedback share sharing shares social related recommended recommendations more-stories trending popular
-    newsletter subscribe subscription signup login register popup popups modal overlay widget widgets pagination pager paywall skip copyright legal search searchbox searchform form forms""".split()
+#: elements that end an open one of their kind, and those that stop the search for it
+_ENDS = {"li": ("li",), "option": ("option",), "tr": ("tr",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}
+_STOPS = ("ul", "ol", "dl", "table", "tbody", "select", "menu")
+#: elements that may be shells of a template; their place among like siblings is part of their path
+_SHELLS = frozenset("article aside body center div footer form head header html main nav section table td".split())
+_PARAGRAPHS = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hgroup ol p pre ul".split())
+_OUT = frozenset("nav footer aside script style noscript template iframe object svg canvas button select textarea dialog menu head audio video".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar status".split())
+#: words that name boilerplate; that may; and that say nothing
+_NAMES = frozenset(
+    """ad ads adbox adslot advert adverts advertisement advertisements advertising adsense sponsored sponsors breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr masthead menu menus
+    nav navbar navigation newsletter notice notices noticebox notification notifications pager pagination paywall popup popups respond searchbox searchform sidebar sidebars submenu subscribe toolbar topbar""".split()
 )
-#: beginnings of such words, in names written together
-_STEMS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "navbar", "newsletter", "noticeb", "popup", "sidebar", "sponsor", "subscri")
-_HEADERS = frozenset(["header", "head", "masthead", "topbar"])
+_HINTS = frozenset(
+    """alert alerts aside banner banners crumbs disclaimer discussion discussions feedback foot form forms head header legal login modal copyright overlay popular promo promoted promos promotion rail recommendations recommended register
+    related replies reply search share shares sharing signup skip social sponsor stories subscription teaser trending widget widgets""".split()
+)
+_NEUTRAL = frozenset("area bar block body bottom box buttons column container content grid group holder inner item items left list main outer panel post posts reader readers region right section site slot thread title top unit user users wrap wrapper".split())
 _COMMENTS = frozenset("comment comments reply replies respond disqus related recommended teaser".split())
 #: in names of what a layout has, lacks or allows
 _LAYOUT, _STATES = frozenset("has no with without".split()), frozenset("open closed enabled disabled on off".split())
-#: how boilerplate an element is: an article in a wrapper of the third degree; not; by a word of a mixed name or a form; by a whole name; by tag, role or being hidden
-WRAPPED, NOT, WEAK, NAMED, FIRM = -1, 0, 1, 2, 3
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_DIGITS = re.compile(r"\d+")
 
+#: marks of an element: boilerplate by tag, role or being hidden; by a whole name; perhaps, by a word; a form; article or main; main; header; heading; a shell; a paragraph or the like; html or body; a whole name that may be boilerplate's
+FIRM, NAMED, HINT, FORM, ARTICLE, MAIN, HEADER, HEADING, SHELL, PARAGRAPH, BODY, VAGUE = (1 << k for k in range(12))
 
-class Block:
-    """A run of text between block boundaries."""
-
-    __slots__ = ("article", "heading", "links", "out", "path", "text", "wrapped")
 
-    def __init__(self, text: str, path: str, out: bool, article: bool, heading: bool, links: int, wrapped: bool):
-        self.text, self.path, self.out, self.article, self.heading, self.links, self.wrapped = text, path, out, article, heading, links, wrapped
-
-
-def _boilerplate(word: str) -> bool:
-    return word in _WORDS or word.startswith(_STEMS)
-
-
-def _zone(tag: str, attributes: str) -> tuple[int, bool, str]:
-    """(degree of boilerplate, header, class words for the path) of an element by its own tag and attributes."""
+def _marks(tag: str, attributes: str) -> tuple[int, str]:
+    """(marks, class names for the path) of an element by its own tag and attributes."""
+    out = (SHELL if tag in _SHELLS else 0) | (PARAGRAPH if tag in _PARAGRAPHS else 0) | (HEADING if tag in ("h1", "h2", "h3") else 0)
+    if tag == "main":
+        return out | ARTICLE | MAIN, ""
+    if tag in ("html", "body"):
+        return out | BODY, ""
     own = {}
-    if attributes:
+    if attributes and _TELLING.search(attributes):
         for k, v in _ATTRIBUTE.findall(attributes):
             own.setdefault(k.lower(), v.strip("\"'"))
-    names = f"{own.get('class', '')} {own.get('id', '')} {tag if '-' in tag else ''}".strip()
-    if tag in ("html", "body", "main"):
-        return NOT, False, ""
-    parts = [{w.lower() for w in _SPLIT.findall(n)} for n in names.split()]
+    names = f"{own.get('class', '')} {own.get('id', '')} {tag if '-' in tag else ''}".split()
+    parts = [{w.lower() for w in _SPLIT.findall(n)} for n in names]
     parts = [p for p in parts if not p & _LAYOUT]
-    words = frozenset().union(*parts)
     if tag == "article":
-        return FIRM if any(p & _COMMENTS and not p & _STATES for p in parts) else NOT, False, ""
-    hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
+        return out | (FIRM if any(p & _COMMENTS and not p & _STATES for p in parts) else ARTICLE), ""
     role = own.get("role", "").lower()
-    if tag in _OUT and tag != "form" or hidden or role in _ROLES and role != "form":
-        out = FIRM
-    elif any(p and not p & _STATES and (p & _COMMENTS & _WORDS or all(map(_boilerplate, p))) for p in parts):
-        out = NAMED
-    else:
-        out = WEAK if tag == "form" or role == "form" or any(map(_boilerplate, words)) else NOT
-    return out, tag == "header" or bool(words & _HEADERS), " ".join(sorted(own.get("class", "").split()))
+    if tag in _OUT or role in _ROLES or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower():
+        out |= FIRM
+    if any(p & _NAMES and p <= _NAMES | _HINTS | _NEUTRAL and not p & _STATES for p in parts):
+        out |= NAMED
+    elif any(p & (_NAMES | _HINTS) for p in parts):
+        out |= HINT | (VAGUE if any(p & _HINTS and p <= _HINTS | _NEUTRAL and not p & _STATES for p in parts) else 0)
+    if tag == "form" or role == "form":
+        out |= FORM
+    if tag == "header":
+        out |= HEADER
+    return out, " ".join(sorted(_DIGITS.sub("0", own.get("class", "")).split()))
+
+
+class Page:
+    """Text blocks of a page, with the node and the characters within links of each; and its distinct tag paths, the nodes, parents first.
+
+    Of a node: path, parent, marks, number of elements, and the characters and link characters below it that aren't in boilerplate by tag or name.
+    """
+
+    __slots__ = ("at", "chars", "count", "linked", "links", "marks", "parents", "paths", "texts")
+
+    def __init__(self, texts, at, links, paths, parents, marks, count, chars, linked):
+        self.texts, self.at, self.links, self.paths, self.parents, self.marks, self.count, self.chars, self.linked = texts, at, links, paths, parents, marks, count, chars, linked
+
+
+_ROOT = xxhash.xxh64_intdigest("") - (1 << 63)
+#: most elements of one kind that are told apart by their place
+PLACES = 9
+_memo: dict[tuple[str, str], tuple[int, str]] = {}
 
 
-def parse(page: str) -> tuple[list[Block], list[str]]:
-    """Text blocks and tag paths of a page, in order."""
-    blocks: list[Block] = []
-    paths: list[str] = []
-    # open elements: (tag, path, boilerplate, in article, header, heading)
-    stack: list[tuple[str, str, int, bool, bool, bool]] = [("", "", NOT, False, False, False)]
+def parse(page: str) -> Page:
+    texts: list[str] = []
+    at_node: list[int] = []
+    links: list[int] = []
+    paths, parents, marks, count = [_ROOT], [-1], [0], [1]
+    known: dict[tuple, int] = {}
+    # open elements: tag, node, whether their text is left out as an inline element is, like siblings seen below
+    tags, nodes, muted, seats = [""], [0], [False], [None]
+    open_at: dict[str, list[int]] = {}
+    blocks_at = [0]
     parts: list[str] = []
-    link_depth = links = 0
-    at, size = 0, len(page)
+    link_chars = 0
+    place, size = 0, len(page)
 
     def close() -> None:
-        nonlocal links
-        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
-        parts.clear()
-        if text:
-            _, path, out, article, header, heading = stack[-1]
-            blocks.append(Block(text, path, out > NOT or header and not (article and heading), article, heading, links, out == WRAPPED))
-        links = 0
-
-    while at < size:
-        m = _TOKEN.search(page, at)
+        nonlocal link_chars
+        if parts:
+            text = "".join(parts)
+            text = " ".join((html.unescape(text) if "&" in text else text).split())
+            parts.clear()
+            if text:
+                texts.append(text)
+                at_node.append(nodes[-1])
+                links.append(min(link_chars, len(text)))
+            link_chars = 0
+
+    def cut(k: int) -> None:
+        for tag in reversed(tags[k:]):
+            open_at[tag].pop()
+            if tag in _BLOCK:
+                blocks_at.pop()
+        del tags[k:], nodes[k:], muted[k:], seats[k:]
+
+    while place < size:
+        m = _TOKEN.search(page, place)
         end = m.start() if m else size
-        if end > at and not (stack[-1][2] > NOT and stack[-1][0] not in _BLOCK and not _outer(stack)):
-            text = page[at:end]
-            parts.append(text)
-            if link_depth:
-                links += len(text)
+        if end > place and not muted[-1]:
+            parts.append(page[place:end])
+            if open_at.get("a"):
+                link_chars += end - place
         if not m:
             break
-        at = m.end()
+        place = m.end()
         tag = m.group(2) or m.group(5)
         if not tag:
             continue
-        closing, attributes, tag = bool(m.group(1) or m.group(4)), m.group(3) or m.group(6) or "", tag.lower()
-        if closing:
-            if tag == "a":
-                link_depth = max(0, link_depth - 1)
+        tag = tag.lower()
+        if m.group(1) or m.group(4):
             if tag in _BLOCK:
                 close()
-            if tag == "br":
+            elif tag == "br":
                 parts.append(" ")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _BLOCK and tag not in _BLOCK:
-                    break
+            spots = open_at.get(tag)
+            if spots and (tag in _BLOCK or spots[-1] > blocks_at[-1]):
+                cut(spots[-1])
             continue
         if tag == "br":
             parts.append(" ")
             continue
-        if tag in _BLOCK:
+        block = tag in _BLOCK
+        if block:
             close()
-            if tag in _CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] in _BLOCK:
-                        break
-            if tag in ("li", "dd", "dt", "option", "tr", "td", "th"):
-                same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in same:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "tbody", "select", "menu"):
-                        break
+            if tag in _CLOSES_P and tags[blocks_at[-1]] == "p":
+                cut(blocks_at[-1])
+            if tag in _ENDS:
+                same = max((open_at[t][-1] for t in _ENDS[tag] if open_at.get(t)), default=-1)
+                if same > max((open_at[t][-1] for t in _STOPS if open_at.get(t)), default=-1):
+                    cut(same)
+        attributes = m.group(3) or m.group(6) or ""
         if tag in _RAW and not attributes.endswith("/"):
-            at = _RAW[tag].search(page, at).end()
+            place = _RAW[tag].search(page, place).end()
             continue
-        if tag in _VOID or attributes.endswith("/") and tag not in _BLOCK:
+        if tag in _VOID or attributes.endswith("/") and not block:
             continue
-        if tag == "a":
-            link_depth += 1
-        _, path, out, article, header, heading = stack[-1]
-        own_out, own_header, names = _zone(tag, attributes) if tag in _BLOCK or attributes or tag in _OUT or "-" in tag else (NOT, False, "")
-        if tag in _BLOCK:
-            path = f"{path}/{tag}" + (f".{names}" if names else "")
-            paths.append(path)
-        if tag in ("article", "main") and not own_out:
-            if out == WEAK or out == NAMED and tag == "main":
-                out = NOT
-            elif out == NAMED and not article:
-                out = WRAPPED
-            header, article = header and article, True
-        stack.append((tag, path, max(out, own_out) if own_out else out, article, header or own_header, heading or tag in ("h1", "h2", "h3")))
+        if block or attributes or tag in _OUT or "-" in tag:
+            key = (tag, attributes)
+            if key not in _memo:
+                if len(_memo) > 4096:
+                    _memo.clear()
+                _memo[key] = _marks(tag, attributes)
+            own, names = _memo[key]
+        else:
+            own, names = 0, ""
+        node, out = nodes[-1], muted[-1]
+        if block:
+            seat = 0
+            if own & SHELL:
+                if seats[-1] is None:
+                    seats[-1] = {}
+                seat = seats[-1].get((tag, names), 0)
+                seats[-1][tag, names] = min(seat + 1, PLACES)
+            spot = known.setdefault((node, tag, names, own, seat), len(paths))
+            if spot == len(paths):
+                paths.append(xxhash.xxh64_intdigest(f"{paths[node]}/{tag}.{names}#{seat}:{own}") - (1 << 63))
+                parents.append(node)
+                marks.append(own)
+                count.append(1)
+            else:
+                count[spot] += 1
+            node = spot
+            blocks_at.append(len(tags))
+        elif own & (FIRM | NAMED):
+            out = True
+        open_at.setdefault(tag, []).append(len(tags))
+        tags.append(tag)
+        nodes.append(node)
+        muted.append(out)
+        seats.append(None)
     close()
-    return blocks, paths
+    chars, linked = [0] * len(paths), [0] * len(paths)
+    for i, text, link in zip(at_node, texts, links):
+        chars[i] += len(text)
+        linked[i] += link
+    for i in range(len(paths) - 1, 0, -1):
+        if not marks[i] & (FIRM | NAMED):
+            chars[parents[i]] += chars[i]
+            linked[parents[i]] += linked[i]
+    return Page(texts, at_node, links, paths, parents, marks, count, chars, linked)
+
+
+def _text_tokens(texts: list[str], paths: np.ndarray) -> np.ndarray:
+    return mix(np.fromiter(map(xxhash.xxh64_intdigest, texts), U64, len(texts)) ^ mix(paths.view(U64))).view(np.int64)
+
+
+class Template:
+    """What is known of a host: template text, boilerplate shells, and the main slot's shell."""
+
+    __slots__ = ("boring", "main", "often")
+
+    def __init__(self, often=(), boring=(), main=None):
+        self.often, self.boring, self.main = frozenset(often), frozenset(boring), main
+
+
+def _mains(p: Page, template: Template) -> set[int]:
+    """The nodes that hold the main text; none for a page that is taken whole."""
+    n = len(p.paths)
+    wrapped = [0] * n
+    inner = [False] * n
+    found: set[int] = set()
+    for i in range(1, n):
+        k, own = p.parents[i], p.marks[i]
+        wrapped[i] = 2 if own & FIRM else max(wrapped[k], 1 if own & (NAMED | VAGUE) else 0)
+        inner[i] = inner[k]
+        if own & ARTICLE and not inner[k] and (wrapped[i] == 0 or wrapped[i] == 1 and own & MAIN):
+            found.add(i)
+            inner[i] = True
+    deduced = {i for i in range(n) if p.paths[i] == template.main} if template.main is not None else set()
+    if deduced and not any(p.marks[i] & ARTICLE for i in deduced):
+        return deduced
+    if deduced:  # other articles of the page go with the deduced one; what holds it is not a slot of its own
+        above = set()
+        for i in deduced:
+            while i > 0:
+                i = p.parents[i]
+                above.add(i)
+        return deduced | {i for i in found if i not in above and p.paths[i] not in template.boring}
+    return found
+
+
+def choose(p: Page, template: Template = Template()) -> str:
+    """The text of the main slot."""
+    n = len(p.paths)
+    mains = _mains(p, template)
+    whole = not mains
+    holds, heads = [False] * n, [False] * n
+    for i in range(n - 1, 0, -1):
+        k = p.parents[i]
+        holds[k] |= holds[i] or i in mains
+        heads[i] |= bool(p.marks[i] & HEADING)
+        heads[k] |= heads[i]
+    first = min(mains, default=n)
+    # per node: 0 beside the main slot, 1 in it; whether it is left out (2: for good); in an article; below a header, a heading, a hint
+    inside, out, article, header, heading, hinted = ([0] * n for _ in range(6))
+    for i in range(n):
+        own, k = p.marks[i], p.parents[i]
+        boring = p.paths[i] in template.boring
+        if i in mains or i == 0 and whole:
+            inside[i] = 1
+            article[i] = int(bool(own & ARTICLE) or k >= 0 and article[k])
+        elif inside[k]:
+            inside[i] = 1
+            article[i] = int(article[k] or bool(own & ARTICLE))
+            header[i] = int(header[k] or bool(own & HEADER))
+            heading[i] = int(heading[k] or bool(own & HEADING))
+            hinted[i] = int(hinted[k] or bool(own & HINT))
+            vague = own & HINT and (boring or whole and not article[i]) or own & ARTICLE and hinted[k] and not whole
+            out[i] = max(out[k], 2 if own & FIRM else 1 if own & (NAMED | FORM) or vague or boring and not article[i] else 0)
+            if whole and own & ARTICLE and out[i] < 2:
+                out[i] = header[i] = 0
+        elif not holds[i]:
+            bad = own & (FIRM | NAMED | FORM | HINT | HEADER) or boring
+            if k < 0 or holds[k]:
+                out[i] = int(not (i < first and not bad and (own & PARAGRAPH or heads[i])))
+            else:
+                out[i] = int(bool(out[k] or bad))
+        else:
+            out[i] = 0
+    tokens = _text_tokens(p.texts, np.array([p.paths[i] for i in p.at], np.int64)).tolist() if template.often else []
+    keep = []
+    for b, (text, i, links) in enumerate(zip(p.texts, p.at, p.links)):
+        if out[i] or holds[i] and not inside[i] or header[i] and not (heading[i] and (article[i] or not whole)):
+            continue
+        if not article[i] and (template.often and tokens[b] in template.often or (whole or not inside[i]) and links * 2 > len(text)):
+            continue
+        keep.append(text)
+    return "\n".join(keep)
+
 
+def main_text(page: str, template: Template = Template()) -> str:
+    """The main text of one page."""
+    return choose(parse(page), template)
 
-def _outer(stack: list[tuple]) -> bool:
-    """Whether the innermost block element is boilerplate, whatever the inline elements in it are."""
-    return next((x[2] > NOT for x in reversed(stack) if x[0] in _BLOCK), False)
 
+_BLOCKS = "texts array<string>, at array<int>, links array<int>, paths array<long>, parents array<int>, marks array<int>, count array<int>, chars array<int>, linked array<int>"
+_KINDS = [pa.string(), pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 5]
+_NAMES_OF = ["texts", "at", "links", "paths", "parents", "marks", "count", "chars", "linked"]
 
-def _hash(path: str, text: str = "") -> int:
-    return xxhash.xxh64_intdigest(f"{path}\0{text}") - (1 << 63)
 
+def _parsed(batches):
+    for batch in batches:
+        pages = [parse(page or "") for page in batch.column(3).to_pylist()]
+        columns = [pa.array([getattr(p, name) for p in pages], pa.list_(kind)) for name, kind in zip(_NAMES_OF, _KINDS)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), batch.column(4), *columns], names=["id", "url", "host", "seed", *_NAMES_OF])
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first of each group in it) that brings equal keys together."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return order, np.flatnonzero(new)
+
+
+def _sum(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, first) if len(first) else x[:0]
 
-def _tokens(blocks: list[Block], paths: list[str]) -> Counter:
-    out: Counter = Counter()
-    for p in paths:
-        out[_hash(p)] += 1
-    for b in blocks:
-        out[_hash(b.path, b.text)] += 1
-        words = b.text.split()
-        if 1 < len(words) <= SHORT:
-            for w in words:
-                out[_hash(b.path, "\1" + w)] += 1
-    return out
+
+_TOKENS = "host long, token long, n double, hi long, lo long, parent long, marks int, count double, chars double, linked double"
 
 
 def _stats(batches):
-    """Per batch and host: each token's pages (a row is a share of its page), fingerprint halves, kind (1: tag path) and parent path."""
+    """Per batch and host: each token's pages (a row is a share of its page), fingerprint halves, parent path; marks are -1 for text."""
     for batch in batches:
-        hosts, pages, seeds, shares = (c.to_pylist() for c in batch.columns)
-        total: dict[tuple[int, int], list] = {}
-        for host, page, seed, share in zip(hosts, pages, seeds, shares):
-            blocks, paths = parse(page or "")
-            tags = {_hash(p): _hash(p.rpartition("/")[0]) for p in paths}
-            tags[_hash("")] = _hash("")  # every page has the root: it counts the pages of a host
-            tokens = _tokens(blocks, paths)
-            tokens[_hash("")] = 1
-            names = np.fromiter(tokens, np.int64, len(tokens))
-            with np.errstate(over="ignore"):
-                f = mix(np.fromiter(tokens.values(), U64, len(tokens)) * U64(0x9E3779B97F4A7C15) + np.array(seed, np.int64).astype(U64))
-            for t, x in zip(names.tolist(), f.tolist()):
-                own = total.setdefault((host, t), [0.0, 0, 0, tags.get(t)])
-                own[0] += share
-                own[1] += x >> 32
-                own[2] += x & 0xFFFFFFFF
-        keys = list(total)
-        values = list(total.values())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), *[pa.array([v[i] for v in values], pa.int64() if i else pa.float64()) for i in range(4)]],
-            names=["host", "token", "n", "hi", "lo", "parent"],
-        )
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, often): per host the tokens of its template.
-
-    pages: host long, html, seed long (equal for equal html of a host), share double (1 / rows of the seed).  A host's row is bounded by its pages' size: a token that half of the pages have
+        host, seed, share = (batch.column(k).to_numpy() for k in range(3))
+        texts, at, paths, parents, marks, count, chars, linked = (batch.column(k) for k in range(3, 11))
+        flat = lambda c: c.flatten().to_numpy(zero_copy_only=False)
+        sizes = lambda c: np.diff(c.offsets.to_numpy())
+        path = flat(paths)
+        begin = np.cumsum(sizes(paths)) - sizes(paths)
+        row = np.repeat(np.arange(batch.num_rows), sizes(paths))
+        up = flat(parents)
+        parent = path[begin[row] + np.maximum(up, 0)]
+        out = _tokens(host[row], path, parent, flat(marks), flat(count), share[row], seed[row], flat(chars) * share[row], flat(linked) * share[row])
+        own = flat(texts).tolist()
+        row = np.repeat(np.arange(batch.num_rows), sizes(texts))
+        above = path[begin[row] + flat(at)]
+        token = _text_tokens(own, above)
+        length = np.fromiter(map(len, own), np.float64, len(own))
+        order, first = _groups(token, row)
+        times = np.diff(np.append(first, len(order)))
+        one = order[first]
+        row = row[one]
+        found = _tokens(host[row], token[one], above[one], np.full(len(one), -1, np.int32), times, share[row], seed[row], length[one] * times * share[row], np.zeros(len(one)))
+        columns = [np.concatenate(x) for x in zip(out, found)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 3, pa.int32(), *[pa.float64()] * 3])], names=[x.split()[0] for x in _TOKENS.split(", ")])
+
+
+def _tokens(host, token, parent, marks, count, share, seed, chars, linked) -> list[np.ndarray]:
+    with np.errstate(over="ignore"):
+        f = mix(count.astype(U64) * U64(0x9E3779B97F4A7C15) + seed.view(U64))
+    order, first = _groups(token, host)
+    one = order[first]
+    total = lambda x: _sum(x[order], first)
+    return [host[one], token[one], total(share), total((f >> U64(32)).astype(np.int64)), total((f & U64(0xFFFFFFFF)).astype(np.int64)), parent[one], marks[one], total(count * share), total(chars), total(linked)]
+
+
+def deduce(tokens: list[dict]) -> tuple[list[int], list[int], int | None]:
+    """(template text, boilerplate shells, main slot's shell) of a host from its frequent tokens."""
+    nodes = {t["token"]: t for t in tokens if t["marks"] >= 0}
+    root = nodes[_ROOT]
+    # nested classes: members below what is in the template; a class that loses all but one goes, and what is below it
+    alive = {_ROOT, *nodes}
+    while True:
+        size: dict[tuple, int] = {}
+        for t in tokens:
+            if t["marks"] < 0 or t["token"] in alive:
+                c = (t["n"], t["hi"], t["lo"])
+                size[c] = size.get(c, 0) + 1
+        ok = {k for k in alive if k == _ROOT or nodes[k]["parent"] in alive and size[nodes[k]["n"], nodes[k]["hi"], nodes[k]["lo"]] > 1}
+        if ok == alive:
+            break
+        alive = ok
+    often = [t for t in tokens if t["marks"] < 0 and size[t["n"], t["hi"], t["lo"]] > 1]
+    repeated = dict.fromkeys(nodes, 0.0)
+    for t in often:
+        k = t["parent"]
+        while k in nodes:
+            repeated[k] += t["chars"]
+            if k == _ROOT or nodes[k]["marks"] & (FIRM | NAMED):
+                break
+            k = nodes[k]["parent"]
+    varying = {k: max(0.0, nodes[k]["chars"] - nodes[k]["linked"] - repeated[k]) for k in nodes}
+    below: dict[int, list[int]] = {}
+    for k in alive:
+        if k != _ROOT:
+            below.setdefault(nodes[k]["parent"], []).append(k)
+    if varying[_ROOT] <= 0:
+        return [], [], None
+    at, chain = _ROOT, {_ROOT}
+    while True:
+        shells = [k for k in below.get(at, ()) if nodes[k]["marks"] & SHELL and not nodes[k]["marks"] & (FIRM | NAMED) and round(nodes[k]["count"]) == nodes[k]["n"]]
+        told = [k for k in shells if nodes[k]["marks"] & ARTICLE and varying[k] >= ARTICLE_SHARE * varying[at]]
+        best = max(told or shells, key=lambda k: (varying[k], k), default=None)
+        if best is None or nodes[at]["marks"] & ARTICLE and not nodes[at]["marks"] & MAIN:
+            break
+        loose = varying[at] - sum(varying[k] for k in below[at] if not nodes[k]["marks"] & (FIRM | NAMED))
+        if not told and (varying[best] < MAJOR * varying[at] or loose > LOOSE * varying[best]):
+            break
+        at = best
+        chain.add(at)
+    boring = [k for k in alive if k not in chain and nodes[k]["chars"] > 0 and repeated[k] + nodes[k]["linked"] >= BORING * nodes[k]["chars"]]
+    # a main slot that is the whole body is none
+    return sorted(t["token"] for t in often), sorted(boring), at if nodes[at]["marks"] & ARTICLE or not nodes[at]["marks"] & BODY and at != _ROOT else None
+
+
+def templates(parsed: DataFrame) -> DataFrame:
+    """(host, often, boring, main): the template of each host that has one.
+
+    parsed: host long, seed long (equal for equal html of a host), share double (1 / rows of the seed), and blocks.  A host's row is bounded by its pages' size: a token that half of the pages have
     takes up half a token of the average page, so there are at most twice as many as an average page has.
     """
-    tokens = pages.select("host", "html", "seed", "share").mapInArrow(lean(_stats), "host long, token long, n double, hi long, lo long, parent long")
+    tokens = parsed.select("host", "seed", "share", "texts", "at", "paths", "parents", "marks", "count", "chars", "linked").mapInArrow(lean(_stats), _TOKENS)
     # the shares of a page's rows make 1 but for rounding: sums are whole numbers of pages
     n = F.round(F.sum("n")).cast("long").alias("n")
-    tokens = tokens.groupBy("host", "token").agg(n, *[F.sum(c).alias(c) for c in ("hi", "lo")], F.max("parent").alias("parent"))
+    tokens = tokens.groupBy("host", "token").agg(n, *[F.sum(c).alias(c) for c in ("hi", "lo", "count", "chars", "linked")], F.max("parent").alias("parent"), F.max("marks").alias("marks"))
     some = tokens.where(f"n >= {LEAST_PAGES} * {SUPPORT}")
-    hosts = some.where(F.col("token") == _hash("")).select("host", F.col("n").alias("pages")).where(f"pages >= {LEAST_PAGES}")
+    hosts = some.where(F.col("token") == _ROOT).select("host", F.col("n").alias("pages")).where(f"pages >= {LEAST_PAGES}")
     often = some.join(hosts, "host").where(f"n >= {SUPPORT} * pages")
-    entry = F.struct("token", "n", "hi", "lo", "parent", "pages")
-    host = often.groupBy("host").agg(F.collect_list(entry).alias("tokens"))
+    host = often.groupBy("host").agg(F.collect_list(F.struct("token", "n", "hi", "lo", "parent", "marks", "count", "chars", "linked")).alias("tokens"))
 
-    def deduce(batches):
+    def run(batches):
         for batch in batches:
-            out: list[tuple[int, list[int]]] = []
-            for key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                classes: dict[tuple, list[dict]] = {}
-                for t in own:
-                    classes.setdefault((t["n"], t["hi"], t["lo"]), []).append(t)
-                seen = {t["token"]: t["n"] for t in own}
-                often: list[int] = []
-                for (n, _, _), members in classes.items():
-                    nested = [t for t in members if t["parent"] is None or seen.get(t["parent"], 0) >= n]
-                    if len(nested) < 2:
-                        continue
-                    often += [t["token"] for t in nested]
-                out.append((key, sorted(often)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.list_(pa.int64()))], names=["host", "often"])
-
-    return host.mapInArrow(deduce, "host long, often array<long>")
-
-
-def _shared(pages: DataFrame) -> DataFrame:
-    """pages with seed, a hash of host and html, and share, 1 / rows of that seed.
+            found = [deduce(own) for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(2)], pa.array([f[2] for f in found], pa.int64())], names=["host", "often", "boring", "main"])
+
+    return host.mapInArrow(lean(run), "host long, often array<long>, boring array<long>, main long")
+
+
+def _shared(parsed: DataFrame) -> DataFrame:
+    """parsed with share, 1 / rows of its seed.
 
     Only hashes are shuffled, and only contents that repeat are joined; too many of them for a broadcast shuffle the pages.
     """
-    pages = pages.withColumn("seed", F.xxhash64("host", F.coalesce("html", F.lit(""))))
-    again = pages.groupBy("seed").agg(F.count("*").alias("rows")).where("rows > 1")
-    again = materialize(pages.sparkSession, again, "contents")
+    again = parsed.groupBy("seed").agg(F.count("*").alias("rows")).where("rows > 1")
+    again = materialize(parsed.sparkSession, again, "contents")
     if again.count() * CONTENT_TOKENS <= BROADCAST_TOKENS:
         again = F.broadcast(again)
-    return pages.join(again, "seed", "left").withColumn("share", F.lit(1.0) / F.coalesce("rows", F.lit(1)))
-
-
-def main_text(page: str, often: frozenset[int] = frozenset()) -> str:
-    """The text of the article's slots."""
-    blocks, _ = parse(page)
-    inside = [b for b in blocks if b.article and not b.out and not b.wrapped]
-    if inside:
-        return "\n".join(b.text for b in inside)
-    slots = [b for b in blocks if not b.out and (b.wrapped or _hash(b.path, b.text) not in often and b.links * 2 <= len(b.text))]
-    return "\n".join(b.text for b in slots)
+    return parsed.join(again, "seed", "left").withColumn("share", F.lit(1.0) / F.coalesce("rows", F.lit(1)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each page."""
-    bounded_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    bounded_batches(spark)
     url = F.col(url_col).cast("string")
-    df = pages.select(F.col(id_col).alias("id"), url.alias("url"), F.col(html_col).cast("string").alias("html"))
-    df = df.withColumn("host", F.xxhash64(host_of(F.col("url"))))
-    template = materialize(pages.sparkSession, templates(_shared(df.select("host", "html"))), "templates")
-    tokens = template.agg(F.sum(F.size("often") + 2)).first()[0] or 0
+    df = pages.select(F.col(id_col).alias("id"), url.alias("url"), F.xxhash64(host_of(url)).alias("host"), F.col(html_col).cast("string").alias("html"))
+    df = df.withColumn("seed", F.xxhash64("host", F.coalesce("html", F.lit(""))))
+    kind = df.schema["id"].dataType.simpleString()
+    parsed = materialize(spark, df.mapInArrow(lean(_parsed), f"id {kind}, url string, host long, seed long, {_BLOCKS}"), "blocks")
+    template = materialize(spark, templates(_shared(parsed)), "templates")
+    tokens = template.agg(F.sum(F.size("often") + F.size("boring") + 3)).first()[0] or 0
     template = template.withColumnRenamed("host", "t_host")
     if tokens <= BROADCAST_TOKENS:
-        joined = df.join(F.broadcast(template), F.col("host") == F.col("t_host"), "left")
+        joined = parsed.join(F.broadcast(template), F.col("host") == F.col("t_host"), "left")
     else:
         template = template.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = df.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
+        salted = parsed.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
         joined = salted.join(template, (F.col("host") == F.col("t_host")) & (F.col("salt") == F.col("t_salt")), "left")
-    joined = joined.select("id", "url", "html", "often")
-    kind = df.schema["id"].dataType.simpleString()
+    names = ["texts", "at", "links", "paths", "parents", "marks"]
 
     def run(batches):
-        made: dict[tuple, frozenset[int]] = {}
         for batch in batches:
+            made: dict[int, Template] = {}
+            hosts, often, boring, main = (batch.column(k) for k in range(2, 6))
             texts = []
-            for page, often in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                key = tuple(often or ())
-                if len(made) > 10_000:
-                    made.clear()
-                texts.append(main_text(page or "", made.setdefault(key, frozenset(key))))
+            for r, (host, *blocks) in enumerate(zip(hosts.to_pylist(), *(batch.column(k).to_pylist() for k in range(6, 12)))):
+                if host not in made:
+                    made[host] = Template(often[r].as_py() or (), boring[r].as_py() or (), main[r].as_py())
+                texts.append(choose(Page(*blocks, None, None, None), made[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
+    joined = joined.select("id", "url", "host", "often", "boring", "main", *names)
     return joined.mapInArrow(lean(run), f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

@@ -152,6 +152,101 @@ def test_repeated_pages_keep_their_text(spark, monkeypatch, broadcast):
     assert all(got[100 + i].text == f"Story {i % 10 if i < 20 else 0} begins here." for i in range(28))
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><h1>T</h1><section id='discussion'><p>The discussion of our results.</p></section><p class='legal'>The court held.</p><p>x</p></article>", "T\nThe discussion of our results.\nThe court held.\nx"),
+        ("<div><h1>Title</h1><p>Lead</p></div><article><p>body</p></article><div><h2>More</h2><p>of us</p></div>", "Title\nLead\nbody"),
+        ("<div class='ad'><p>buy</p></div><p>Lead</p><article><p>body</p></article>", "Lead\nbody"),
+        ("<article>" + "".join(f"<div class='{w}'>{w}</div>" for w in "feedback related popular share search rail widget alert commentary cookies-recipe advertising-history subscription".split()) + "</article>", "\n".join("feedback related popular share search rail widget alert commentary cookies-recipe advertising-history subscription".split())),
+    ],
+)
+def test_nothing_of_an_article_is_lost(page, text):
+    assert htmltext.main_text(page) == text
+
+
+def shuffled_site(rng, n, semantic):
+    """Pages of one host with known article text; where tags and classes say nothing, all is div with random class names or none."""
+    name = lambda: "" if rng.random() < 0.3 else f" class='{''.join(rng.choice('bcdfghjkz') for _ in range(4))}'"
+    shell = {k: name() for k in ("menu", "lead", "story", "foot", "promo", "wrap")}
+    words = lambda n: " ".join("".join(rng.choice("aeioustrn") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    menu = "".join(f"<li><a href='/{k}'>{words(1)}</a></li>" for k in range(5))
+    notice, promo = words(12), rng.random() < 0.5
+    for i in range(n):
+        title, body = words(5), [words(rng.randint(8, 60)) for _ in range(rng.randint(2, 9))]
+        inner = f"<h1>{title}</h1>" + "".join(f"<p>{b}</p>" for b in body)
+        parts = [f"<div{shell['menu']}><ul>{menu}</ul></div>", f"<div{shell['promo']}>{words(6)}</div>" if promo else f"<div{shell['promo']}>{notice}</div>", f"<article>{inner}</article>" if semantic else f"<div{shell['story']}>{inner}</div>", f"<div{shell['foot']}>{notice} <b>{words(2)}</b></div>"]
+        yield f"<html><body><div{shell['wrap']}>{''.join(parts)}</div></body></html>", "\n".join([title, *body])
+
+
+@pytest.mark.parametrize("semantic", [True, False])
+def test_sites_with_random_names(spark, semantic):
+    rng, rows, want = random.Random(11), [], {}
+    for host in range(12):
+        for page, text in shuffled_site(rng, 9, semantic):
+            want[len(rows)] = text
+            rows.append((len(rows), f"http://h{host}.com/{len(rows)}", page))
+    got = {r.page_id: r.text for r in htmltext.extract(pages(spark, rows)).collect()}
+    assert got == want
+    if not semantic:  # the template decides: a page by itself doesn't tell its article
+        assert not any(htmltext.main_text(h) == want[i] for i, _, h in rows)
+
+
+def brute_template(rows, support=htmltext.SUPPORT):
+    """Token vectors over distinct pages, classes of equal vectors, nesting: without fingerprints or partial sums."""
+    distinct = list(dict.fromkeys(rows))
+    vectors, parent = {}, {}
+    for i, page in enumerate(distinct):
+        p = htmltext.parse(page)
+        for k, path in enumerate(p.paths):
+            vectors.setdefault(("path", path), {})[i] = p.count[k]
+            parent["path", path] = ("path", p.paths[max(p.parents[k], 0)])
+        for text, k in zip(p.texts, p.at):
+            own = vectors.setdefault(("text", p.paths[k], text), {})
+            own[i] = own.get(i, 0) + 1
+    vectors = {t: v for t, v in vectors.items() if len(v) >= support * len(distinct)}
+    alive = set(vectors)
+    while True:
+        classes = {}
+        for t in alive:
+            classes.setdefault(tuple(sorted(vectors[t].items())), []).append(t)
+        ok = {t for own in classes.values() for t in own if t == ("path", htmltext._ROOT) or len(own) > 1 and (t[0] == "text" or parent[t] in alive)}
+        if ok == alive:
+            return alive
+        alive = ok
+
+
+def test_classes_against_brute_force(spark):
+    rng, rows = random.Random(3), []
+    for host in range(6):
+        own = [page for page, _ in shuffled_site(rng, 10, False)]
+        rows += [(len(rows) + k, f"http://h{host}.com/", page) for k, page in enumerate(own + own[:3])]
+    df = pages(spark, rows)
+    host = htmltext.F.xxhash64(htmltext.host_of(htmltext.F.col("url")))
+    df = df.select(htmltext.F.col("page_id").alias("id"), "url", host.alias("host"), "html", htmltext.F.xxhash64("url", "html").alias("seed"))
+    parsed = df.mapInArrow(htmltext._parsed, f"id long, url string, host long, seed long, {htmltext._BLOCKS}")
+    got = {r.host: set(r.often) for r in htmltext.templates(htmltext._shared(parsed)).collect()}
+    hosts = {r.url: r.host for r in df.select("url", "host").distinct().collect()}
+    for url, key in hosts.items():
+        want = brute_template([h for _, u, h in rows if u == url])
+        texts = [t for t in want if t[0] == "text"]
+        assert got[key] == set(htmltext._text_tokens([t[2] for t in texts], htmltext.np.array([t[1] for t in texts], "i8")).tolist()) and texts
+
+
+@pytest.mark.parametrize("page", ["<div>" * 64_000, "<div>" * 32_000 + "<li></li>x" * 32_000, "<ul>" + "<li><div>" * 20_000 + "<li>" * 20_000, "<b>" * 64_000 + "</i>" * 64_000, "<div class=a>x" * 30_000 + "</section>" * 30_000, "<p><i>" * 40_000, "<a '\"> " * 20_000])
+def test_deep_pages_take_little(page):
+    import time
+    import tracemalloc
+
+    began = time.perf_counter()
+    htmltext.main_text(page + "<article>kept</article>")
+    assert time.perf_counter() - began < 10
+    tracemalloc.start()
+    htmltext.parse(page)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
 # URLs
 
 
