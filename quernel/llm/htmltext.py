@@ -466,9 +466,8 @@ def templates(parsed: DataFrame) -> DataFrame:
     # the shares of a page's rows make 1 but for rounding: sums are whole numbers of pages
     n = F.round(F.sum("n")).cast("long").alias("n")
     tokens = tokens.groupBy("host", "token").agg(n, *[F.sum(c).alias(c) for c in ("hi", "lo", "count", "chars", "linked")], F.max("parent").alias("parent"), F.max("marks").alias("marks"))
-    some = tokens.where(f"n >= {LEAST_PAGES} * {SUPPORT}")
-    hosts = some.where(F.col("token") == _ROOT).select("host", F.col("n").alias("pages")).where(f"pages >= {LEAST_PAGES}")
-    often = some.join(hosts, "host").where(f"n >= {SUPPORT} * pages")
+    hosts = parsed.groupBy("host").agg(F.round(F.sum("share")).cast("long").alias("pages")).where(f"pages >= {LEAST_PAGES}")
+    often = tokens.where(f"n >= {LEAST_PAGES} * {SUPPORT}").join(hosts, "host").where(f"n >= {SUPPORT} * pages")
     host = often.groupBy("host").agg(F.collect_list(F.struct("token", "n", "hi", "lo", "parent", "marks", "count", "chars", "linked")).alias("tokens"))
 
     def run(batches):
