@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, htmltext, mixing, near_text, near_vectors, quality, secrets, tokenfile, urlfilter, warc
-from .shared import new_dir
+from .shared import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,9 +40,8 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(_table(spark, sf_dir, "pages"), least_bytes=0)
-    index = warc.merge_index(spark, manifest)
-    index.write.parquet(new_dir(spark, "capture-index"))
-    return warc.read_archives(manifest).drop("target")
+    index = materialize(spark, warc.merge_index(spark, manifest), "capture-index")
+    return warc.read_captures(index, warc.folder_of(manifest)).drop("target")
 
 
 #: base32 of a digest: eight groups of five hexadecimal digits, four characters each

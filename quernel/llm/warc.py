@@ -1,20 +1,23 @@
-"""WARC archives of pages, and a globally ordered capture index by external merging.
+"""WARC archives of pages, a globally ordered capture index by external merging, and reading through that index.
 
 Writing: every page becomes a response record, or a revisit of the record whose payload is equal and whose id is the
 largest; each record is a gzip member of its own.  Which pages are responses is decided by a digest table, with
 map-side combining, so a payload that a third of all pages share costs one row a task.  Each writing task also leaves a
-run of its captures, sorted by URL key and timestamp, next to its archive.
+run of its captures, sorted by URL key, timestamp and id, next to its archive.
 
-Index: split points of the keys are sampled from the runs; a merging task takes one key range, reads that range
-of every run by the run's own sparse index, and merges the runs with a loser tree.  Ranges are globally
-ordered, so the index files in order are each URL's capture history.
+Index: a merging task takes one key range of at most ``FAN_IN`` runs, reads that range of each by the run's own sparse index, and
+merges them with a loser tree.  Where there are more runs, passes before the last merge them in groups, range by range, into longer
+runs of several pieces.  Ranges are cut at quantiles of the sparse keys (one short string for each ``RANGE_ROWS`` captures is all that the driver sees) and go down to timestamp and id, so a
+URL that a third of all captures share is cut, too.  Ranges are globally ordered, so the rows of the last pass by part and seq are each URL's capture history.
 
-Reading: archives are parsed record by record; what a revisit's payload was is known from its headers.
+Reading: records are found by the index alone, by file, offset and length, and what the index doesn't list isn't read.  Only its three narrow columns are
+shuffled, by file; a task reads a file's spans in their order.  What a revisit's payload was is known from its headers.
 
 Only archives named in the manifest (written by successful tasks) count.
 
 Defined cases: a null payload is empty; null URLs are written as ``urn:page:<id>``; rows that repeat the largest id of a
-payload are all responses; a null id never is the largest unless all are null, and then the record is a response.
+payload are all responses; a null id never is the largest unless all are null, and then the record is a response; control characters of a URL
+are percent-encoded in its key.
 """
 
 from __future__ import annotations
@@ -24,24 +27,30 @@ import bisect
 import hashlib
 import itertools
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .shared import filesystem, new_dir
 from .textops import bounded_batches, lean
 
 #: rows of a run between entries of its sparse index
 STRIDE = 256
-#: captures that one merging task takes, about
-RANGE_ROWS = 500_000
+#: captures that one merging task takes, about; runs that it merges at most
+RANGE_ROWS, FAN_IN = 500_000, 256
+#: neighbouring records are read together, up to so many bytes
+READ_BYTES = 4 << 20
 #: hot payloads' rows are spread over so many join keys
 SALTS = 16
 _EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
+_CONTROL = re.compile(r"[\x00-\x1f]")
+#: stands for a null id in captures: less than any
+_NO_ID = -(1 << 63) - 1
 
 
 def payload_digest(payload: bytes) -> str:
@@ -50,6 +59,7 @@ def payload_digest(payload: bytes) -> str:
 
 def url_key(url: str) -> str:
     """Reversed host labels, then port, path and query, lower-cased: captures of a site sort together."""
+    url = _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url)
     scheme, sep, rest = url.partition("://")
     if not sep:
         return url.lower()
@@ -123,12 +133,47 @@ class LoserTree:
             self._rise(w)
 
 
-#: one capture: URL key, timestamp, page id (-1 for null), URL, digest, type, file, offset, length
+#: one capture: URL key, timestamp, page id (_NO_ID for null), URL, digest, type, file, offset, length
 Capture = tuple[str, str, int, str, str, str, str, int, int]
 
 
+def _key(c: Capture) -> str:
+    """Sorts as the first three parts do: the tab is less than what a URL key or a timestamp holds."""
+    return f"{c[0]}\t{c[1]}\t{c[2] - _NO_ID:020d}"
+
+
+_RUN = "base string, n long, bytes long, run_bytes long, sparse array<string>, places array<long>, last string"
+
+
+class _Run:
+    """Writes a run: sorted captures as lines of JSON, with the key and place of every STRIDE-th."""
+
+    def __init__(self, uri: str):
+        fs, path = filesystem(uri)
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        self.file, self.n, self.size, self.last = fs.open_output_stream(path), 0, 0, ""
+        self.sparse: list[str] = []
+        self.places: list[int] = []
+
+    def add(self, c: Capture) -> None:
+        if self.n % STRIDE == 0:
+            self.sparse.append(_key(c))
+            self.places.append(self.size)
+        line = json.dumps(c, ensure_ascii=False).encode() + b"\n"
+        self.file.write(line)
+        self.n, self.size, self.last = self.n + 1, self.size + len(line), c
+
+    def row(self, base: str, size: int) -> list[pa.Array]:
+        self.file.close()
+        values = [base, self.n, size, self.size, self.sparse, self.places, _key(self.last)]
+        return [pa.array([v], k) for v, k in zip(values, [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.string()])]
+
+
+_RUN_NAMES = [x.split()[0] for x in _RUN.split(", ")]
+
+
 def _writer(folder: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out = uuid.uuid4().hex, None
         captures: list[Capture] = []
         at = 0
@@ -145,28 +190,22 @@ def _writer(folder: str):
                 data = c.compress(record(page_id, url, payload, digest, refers_to, target, stamp)) + c.flush()
                 out.write(data)
                 shown = url if url is not None else f"urn:page:{page_id}"
-                captures.append((url_key(shown), stamp, -1 if page_id is None else page_id, shown, digest, "response" if refers_to is None else "revisit", f"{name}.warc.gz", at, len(data)))
+                captures.append((url_key(shown), stamp, _NO_ID if page_id is None else page_id, shown, digest, "response" if refers_to is None else "revisit", f"{name}.warc.gz", at, len(data)))
                 at += len(data)
         if out is None:
             return
         out.close()
         captures.sort()
-        sparse, places, size = [], [], 0
-        with fs.open_output_stream(path.replace(".warc.gz", ".run")) as f:
-            for i, c in enumerate(captures):
-                if i % STRIDE == 0:
-                    sparse.append(f"{c[0]}\t{c[1]}")
-                    places.append(size)
-                line = json.dumps(c, ensure_ascii=False).encode() + b"\n"
-                f.write(line)
-                size += len(line)
-        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(captures)]), pa.array([at]), pa.array([size]), pa.array([sparse], pa.list_(pa.string())), pa.array([places], pa.list_(pa.int64()))], names=["base", "n", "bytes", "run_bytes", "sparse", "places"])
+        run = _Run(f"{folder}/{name}.run")
+        for c in captures:
+            run.add(c)
+        yield pa.RecordBatch.from_arrays(run.row(f"{folder}/{name}", at), names=_RUN_NAMES)
 
-    return run
+    return write
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Write archives and sorted runs; returns the manifest: base, n, bytes, run_bytes, sparse, places.
+    """Write archives and sorted runs; returns the manifest: base, n, bytes, run_bytes, sparse, places, last.
 
     Payloads of fewer than least_bytes are always responses.
     """
@@ -181,11 +220,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     revisit = F.col("refers").isNotNull() & ~F.col("id").eqNullSafe(F.col("refers"))
     folder = new_dir(spark, "warc")
     rows = roles.select("id", "url", "payload", F.when(revisit, F.col("refers")).alias("refers"), F.when(revisit, F.col("target")).alias("target"))
-    rows.mapInArrow(lean(_writer(folder)), "base string, n long, bytes long, run_bytes long, sparse array<string>, places array<long>").write.parquet(f"{folder}/manifest")
+    rows.mapInArrow(lean(_writer(folder)), _RUN).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
-def _lines(base: str, start: int, end: int, low: str | None, high: str | None) -> Iterator[list]:
+def _lines(base: str, start: int, end: int, low: str | None, high: str | None) -> Iterator[Capture]:
     """The captures of a run in [low, high), read from a part of its file."""
     fs, path = filesystem(f"{base}.run")
     with fs.open_input_file(path) as f:
@@ -196,93 +235,168 @@ def _lines(base: str, start: int, end: int, low: str | None, high: str | None) -
             *lines, rest = (rest + block).split(b"\n")
             for line in lines:
                 c = tuple(json.loads(line))
-                key = f"{c[0]}\t{c[1]}"
+                key = _key(c)
                 if high is not None and key >= high:
                     return
                 if low is None or key >= low:
                     yield c
 
 
-def merge_index(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """Merge the runs; returns a table in global order: part, seq, url_key, stamp, page_id, url, digest, record_type, file, offset, length."""
-    total = manifest.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-total // RANGE_ROWS))
-    # equally spaced sparse entries of all runs: STRIDE times fewer than captures, and of those only the quantiles are kept
-    keys = manifest.select(F.explode("sparse").alias("k"))
-    cuts = []
-    if parts > 1:
-        ranked = keys.repartitionByRange(parts, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k"))
-        cuts = sorted(r.k for r in ranked.collect())[1:]
-    ranges = [(i, lo, hi) for i, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None]))]
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Which part of each run's file holds each range, by the run's own sparse index."""
+def _cuts(runs: DataFrame, parts: int) -> list[str]:
+    """Keys that cut all captures into about equal ranges: quantiles of equally spaced sparse entries, STRIDE times fewer than captures."""
+    if parts < 2:
+        return []
+    keys = runs.select(F.explode("sparse").alias("k"))
+    ranked = keys.repartitionByRange(parts, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k"))
+    return sorted({r.k for r in ranked.collect()})[1:]
+
+
+def _spans(cuts: list[str]):
+    """Which part of each run's file holds each range that it reaches, by the run's own sparse index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for base, size, sparse, places in zip(*(c.to_pylist() for c in batch.columns)):
-                for part, low, high in ranges:
-                    a = 0 if low is None else max(0, bisect.bisect_left(sparse, low) - 1)
-                    b = len(places) if high is None else bisect.bisect_left(sparse, high)
-                    if b > 0:
-                        out.append((part, base, places[a], places[b] if b < len(places) else size))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "base", "start", "end"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
-        for part, own in itertools.groupby(rows, key=lambda r: r[0]):
-            _, low, high = ranges[part]
-            out: list[Capture] = []
+            for group, number, base, size, sparse, places, last in zip(*(c.to_pylist() for c in batch.columns)):
+                for part in range(bisect.bisect_right(cuts, sparse[0]), bisect.bisect_right(cuts, last) + 1):
+                    a = bisect.bisect_left(sparse, cuts[part - 1]) - 1 if part else 0
+                    b = bisect.bisect_left(sparse, cuts[part]) if part < len(cuts) else len(places)
+                    out.append((group, part, number, sparse[0], base, places[max(0, a)], places[b] if b < len(places) else size))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["group", "part", "run", "first", "base", "start", "end"])
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch], cuts: list[str]) -> Iterator[tuple[int, int, LoserTree]]:
+    """(group, part, its captures in order); pieces of one run follow each other, so only one of them is open."""
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+    for (group, part), own in itertools.groupby(rows, key=lambda r: r[:2]):
+        low, high = cuts[part - 1] if part else None, cuts[part] if part < len(cuts) else None
+        pieces = [[r[4:] for r in run] for _, run in itertools.groupby(own, key=lambda r: r[2])]
+        yield group, part, LoserTree([itertools.chain.from_iterable(_lines(*p, low, high) for p in run) for run in pieces])
+
+
+def merge_index(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """Merge the runs; returns a table in global order: part, seq, url_key, stamp, page_id, url, digest, record_type, file, offset, length."""
+    total, n = manifest.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    numbers = manifest.select("base", (F.row_number().over(Window.orderBy("base")) - 1).cast("long").alias("run"))
+    runs = manifest.join(numbers, "base")
+    while True:
+        groups = -(-n // FAN_IN) if n > FAN_IN else 1
+        cuts = _cuts(runs, max(1, -(-total // (RANGE_ROWS * groups))))
+        found = runs.select(F.expr(f"run div {FAN_IN if groups > 1 else max(n, 1)}").alias("group"), "run", "base", "run_bytes", "sparse", "places", "last")
+        # a merging task gets a row per run, or piece of a run, in its range
+        found = found.mapInArrow(lean(_spans(cuts)), "group long, part int, run long, first string, base string, start long, end long")
+        found = found.repartition(groups * (len(cuts) + 1), "group", "part").sortWithinPartitions("group", "part", "run", "first")
+        if groups == 1:
+            return found.mapInArrow(lean(_index(cuts)), "part int, seq long, url_key string, stamp string, page_id long, url string, digest string, record_type string, file string, offset long, length long")
+        folder = new_dir(spark, "runs")
+        found.mapInArrow(lean(_longer(folder, cuts)), f"run long, {_RUN}").write.parquet(f"{folder}/manifest")
+        runs, n = spark.read.parquet(f"{folder}/manifest"), groups
+
+
+def _index(cuts: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part, captures in _merged(batches, cuts):
             seq = 0
-            for c in LoserTree([_lines(base, start, end, low, high) for _, base, start, end in own]):
-                out.append(c)
-                if len(out) == 8192:
-                    yield _captures(part, seq, out)
-                    seq, out = seq + len(out), []
+            for own in itertools.batched(captures, 8192):
+                yield _captures(part, seq, own)
+                seq += len(own)
+
+    return run
+
+
+def _longer(folder: str, cuts: list[str]):
+    """Writes each group's range as a piece of a longer run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, _, captures in _merged(batches, cuts):
+            base, out = f"{folder}/{uuid.uuid4().hex}", None
+            for c in captures:
+                out = out or _Run(f"{base}.run")
+                out.add(c)
             if out:
-                yield _captures(part, seq, out)
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), *out.row(base, 0)], names=["run", *_RUN_NAMES])
 
-    # a merging task gets a row per run: as many as there were writing tasks
-    found = manifest.select("base", "run_bytes", "sparse", "places").mapInArrow(lean(spans), "part int, base string, start long, end long")
-    found = found.repartition(len(ranges), "part").sortWithinPartitions("part", "base")
-    return found.mapInArrow(lean(merge), "part int, seq long, url_key string, stamp string, page_id long, url string, digest string, record_type string, file string, offset long, length long")
+    return run
 
 
-def _captures(part: int, seq: int, rows: list[Capture]) -> pa.RecordBatch:
+def _captures(part: int, seq: int, rows: tuple[Capture, ...]) -> pa.RecordBatch:
     cols = list(zip(*rows))
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    cols[2] = [None if x == _NO_ID else x for x in cols[2]]
     arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
-    arrays[2] = pa.array([None if x == -1 else x for x in cols[2]], pa.int64())
     n = len(rows)
     return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), *arrays], names=["part", "seq", "url_key", "stamp", "page_id", "url", "digest", "record_type", "file", "offset", "length"])
 
 
+_RECORD = "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target string"
+
+
+def _parsed(file: str, fields: dict[str, str], block: bytes) -> tuple:
+    head, _, payload = block.partition(b"\r\n\r\n")
+    revisit = fields["WARC-Type"] == "revisit"
+    http = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if not revisit and payload_digest(payload) != digest:
+        raise ValueError(f"{file}: record {fields['WARC-Record-ID']} is damaged")
+    own = fields["WARC-Record-ID"][10:-1]
+    return int(own) if own else None, int(http["Content-Length"]) if revisit else len(payload), digest, fields["WARC-Type"], int(fields["WARC-Refers-To"][10:-1]) if revisit else None, fields["WARC-Target-URI"]
+
+
+def folder_of(manifest: DataFrame) -> str:
+    """The folder of a manifest's archives, which the index names relative to it."""
+    first = manifest.select("base").first()
+    return first.base.rpartition("/")[0] if first else ""
+
+
+def read_captures(index: DataFrame, folder: str, id_col: str = "page_id") -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, target of the records that an index lists by file, offset and length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for name, own in itertools.groupby(rows, key=lambda r: r[0]):
+            fs, path = filesystem(f"{folder}/{name}")
+            with fs.open_input_file(path) as f:
+                for some in itertools.batched(_records(f, ((at, size) for _, at, size in own)), 8192):
+                    yield _read([_parsed(name, *r) for r in some])
+
+    spans = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    return spans.mapInArrow(lean(run), _RECORD).withColumnRenamed("id", id_col)
+
+
+def _records(f, spans: Iterator[tuple[int, int]]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of the records at ascending (offset, length); neighbours are read at once."""
+    near: list[tuple[int, int]] = []
+    for at, size in itertools.chain(spans, [(-1, 0)]):
+        if near and (at != sum(near[-1]) or at + size - near[0][0] > READ_BYTES):
+            begin = near[0][0]
+            data = f.read_at(sum(near[-1]) - begin, begin)
+            for a, n in near:
+                yield _fields(zlib.decompress(data[a - begin : a - begin + n], 31))
+            near = []
+        near.append((at, size))
+
+
+def _fields(whole: bytes) -> tuple[dict[str, str], bytes]:
+    head, _, rest = whole.partition(b"\r\n\r\n")
+    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    return fields, rest[: int(fields["Content-Length"])]
+
+
 def read_archives(manifest: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every record, parsed from the archives."""
+    """The same of every record of the archives, read from end to end without an index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base in batch.column(0).to_pylist():
                 fs, path = filesystem(f"{base}.warc.gz")
-                out: list[tuple] = []
                 with fs.open_input_file(path) as f:
-                    for fields, block in _stream(f):
-                        head, _, payload = block.partition(b"\r\n\r\n")
-                        revisit = fields["WARC-Type"] == "revisit"
-                        http = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-                        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if not revisit and payload_digest(payload) != digest:
-                            raise ValueError(f"{base}: record {fields['WARC-Record-ID']} is damaged")
-                        own = fields["WARC-Record-ID"][10:-1]
-                        size = int(http["Content-Length"]) if revisit else len(payload)
-                        out.append((int(own) if own else None, size, digest, fields["WARC-Type"], int(fields["WARC-Refers-To"][10:-1]) if revisit else None, fields["WARC-Target-URI"]))
-                        if len(out) == 8192:
-                            yield _read(out)
-                            out = []
-                if out:
-                    yield _read(out)
-
-    n = max(1, manifest.count())
-    one_each = manifest.select("base").repartition(min(n, 4 * manifest.sparkSession.sparkContext.defaultParallelism), "base")
-    return one_each.mapInArrow(lean(run), "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target string").withColumnRenamed("id", id_col)
+                    for some in itertools.batched(_stream(f), 8192):
+                        yield _read([_parsed(base, *r) for r in some])
+
+    return manifest.select("base").repartition("base").mapInArrow(lean(run), _RECORD).withColumnRenamed("id", id_col)
 
 
 def _read(rows: list[tuple]) -> pa.RecordBatch:
@@ -301,8 +415,5 @@ def _stream(f) -> Iterator[tuple[dict[str, str], bytes]]:
         raw.append(d.decompress(data))
         data = d.unused_data
         if d.eof:
-            whole = b"".join(raw)
-            head, _, rest = whole.partition(b"\r\n\r\n")
-            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-            yield fields, rest[: int(fields["Content-Length"])]
+            yield _fields(b"".join(raw))
             d, raw = zlib.decompressobj(31), []

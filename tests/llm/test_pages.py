@@ -27,19 +27,31 @@ def test_loser_tree(runs):
     assert list(warc.LoserTree([iter(r) for r in runs])) == list(heapq.merge(*runs))
 
 
-@pytest.mark.parametrize("rows_per_range", [500_000, 4])
-def test_archives(spark, monkeypatch, rows_per_range):
+@pytest.mark.parametrize(("rows_per_range", "fan_in"), [(500_000, 256), (4, 256), (7, 2), (500_000, 3)])
+def test_archives(spark, monkeypatch, rows_per_range, fan_in):
+    monkeypatch.setattr(warc, "FAN_IN", fan_in)
     monkeypatch.setattr(warc, "RANGE_ROWS", rows_per_range)
     monkeypatch.setattr(warc, "STRIDE", 2)
     rng = random.Random(1)
     rows = [(i, f"http://h{rng.randint(0, 3)}.com/p{rng.randint(0, 5)}?q=\n", rng.choice(["<p>same</p>", "", None, f"<p>é {i}</p>", "x\r\n\r\ny" * 50])) for i in range(60)]
     rows += [(59, "http://again", rows[59][2]), (None, None, "<p>lost</p>"), (None, "u", "<p>lost</p>"), (7, "no scheme", "long " * 50_000)]
-    manifest = warc.write_archives(pages(spark, rows))
-    got = warc.read_archives(manifest).collect()
+    rows += [(-1, "http://h1.com/\x01", "c"), (-5, "http://h1.com/", "c" * 3), *[(70 + i % 9, "http://hot.com/", f"{i}") for i in range(40)]]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    try:
+        manifest = warc.write_archives(pages(spark, rows)).cache()
+        assert manifest.count() == 9
+    finally:
+        for name, value in (("adaptive.enabled", "true"), ("autoBroadcastJoinThreshold", "10485760"), ("shuffle.partitions", "4")):
+            spark.conf.set(f"spark.sql.{name}", value)
+    index = warc.merge_index(spark, manifest).orderBy("part", "seq").cache()
+    got = warc.read_captures(index, warc.folder_of(manifest)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, warc.read_archives(manifest).collect()))
     top = {}
     for i, _, h in rows:
         if i is not None:
-            top[h or ""] = max(top.get(h or "", -1), i)
+            top[h or ""] = max(top.get(h or "", i), i)
     want = []
     for i, _, h in rows:
         data = (h or "").encode()
@@ -48,14 +60,19 @@ def test_archives(spark, monkeypatch, rows_per_range):
         want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", first if revisit else None))
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted([tuple(r)[:5] for r in got], key=key) == sorted(want, key=key)
-    index = warc.merge_index(spark, manifest).orderBy("part", "seq").collect()
-    order = [(r.url_key, r.stamp, -1 if r.page_id is None else r.page_id) for r in index]
-    assert order == sorted(order) and len(order) == len(rows) and sum(r.length for r in index) == manifest.groupBy().sum("bytes").first()[0]
+    listed = index.collect()
+    order = [(r.url_key, r.stamp, -(1 << 64) if r.page_id is None else r.page_id) for r in listed]
+    assert order == sorted(order) and len(order) == len(rows) and sum(r.length for r in listed) == manifest.groupBy().sum("bytes").first()[0]
+    assert {r.page_id for r in listed} == {i for i, _, _ in rows}
+    # what the index doesn't list isn't read
+    some = warc.read_captures(index.where("page_id % 3 = 1"), warc.folder_of(manifest)).collect()
+    assert sorted(r.page_id for r in some) == sorted(r.page_id for r in listed if r.page_id is not None and r.page_id % 3 == 1 and r.page_id > 0)
 
 
 def test_no_pages(spark):
     manifest = warc.write_archives(pages(spark, []))
-    assert warc.read_archives(manifest).count() == 0 and warc.merge_index(spark, manifest).count() == 0
+    index = warc.merge_index(spark, manifest)
+    assert warc.read_archives(manifest).count() == 0 and index.count() == 0 and warc.read_captures(index, warc.folder_of(manifest)).count() == 0
 
 
 def test_small_payloads_are_responses(spark):
