@@ -45,6 +45,8 @@ STRIDE = 256
 RANGE_ROWS, FAN_IN = 500_000, 256
 #: neighbouring records are read together, up to so many bytes
 READ_BYTES = 4 << 20
+#: archives that one reading task takes, about
+TASK_BYTES = 64 << 20
 #: hot payloads' rows are spread over so many join keys
 SALTS = 16
 _EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -362,8 +364,15 @@ def read_captures(index: DataFrame, folder: str, id_col: str = "page_id") -> Dat
                 for some in itertools.batched(_records(f, ((at, size) for _, at, size in own)), 8192):
                     yield _read([_parsed(name, *r) for r in some])
 
-    spans = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
-    return spans.mapInArrow(lean(run), _RECORD).withColumnRenamed("id", id_col)
+    # an explicit number of tasks: Spark would size them by the index's rows, not by what they stand for
+    spans = index.select("file", "offset", "length")
+    parts = _tasks(spans, "length")
+    return spans.repartition(parts, "file").sortWithinPartitions("file", "offset").mapInArrow(lean(run), _RECORD).withColumnRenamed("id", id_col)
+
+
+def _tasks(rows: DataFrame, size: str) -> int:
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
 
 
 def _records(f, spans: Iterator[tuple[int, int]]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -396,7 +405,7 @@ def read_archives(manifest: DataFrame, id_col: str = "page_id") -> DataFrame:
                     for some in itertools.batched(_stream(f), 8192):
                         yield _read([_parsed(base, *r) for r in some])
 
-    return manifest.select("base").repartition("base").mapInArrow(lean(run), _RECORD).withColumnRenamed("id", id_col)
+    return manifest.select("base").repartition(_tasks(manifest, "bytes"), "base").mapInArrow(lean(run), _RECORD).withColumnRenamed("id", id_col)
 
 
 def _read(rows: list[tuple]) -> pa.RecordBatch:
