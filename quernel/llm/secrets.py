@@ -4,9 +4,13 @@ Base kinds are ``assign`` (a sensitive name, ``:`` or ``=``, a literal of 6+ cha
 more) and ``hex`` (24+ digits).  The lexer adds ``lexed`` spans: it parses name-literal pairs (``a = "x"``, ``a: x``, ``"a": "x"``,
 ``a => 'x'``, ``--a x``, ``<a>x</a>``, URL user information), propagates constants (names, concatenations, calls around a literal),
 and scores each literal by the names that it reaches.  A literal is reported, by its own span, if its score is at
-least ``THRESHOLD`` and no base span overlaps it.
+least ``THRESHOLD``, whether or not a base span holds it too.
 
-Offsets are code points, ends exclusive.  Defined cases: null texts are empty; texts of any length are scanned whole; a text
+No token spans lines, so lines are lexed one by one, and those without ``:``, ``=``, ``<`` and flags not at all; constants are propagated over the whole text.
+Time and memory are linear in a text: a scheme begins at the beginning of a word, a quote after a backslash begins no string (so at most one string a line and kind of quote is
+sought in vain), and a name within an unquoted value has the value up to the next ``:`` or ``=``.
+
+Offsets are code points, ends exclusive.  Defined cases: null texts are empty; texts of any length are scanned whole; spans that begin together are in the order of kinds, then ends; a text
 without ``:``, ``=``, ``AKIA``, ``<`` or a run of 24 hexadecimal digits can have no span and is not parsed.
 """
 
@@ -15,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -35,20 +40,26 @@ THRESHOLD = 6.0
 _PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\).|changeme|example|your[_-].*|none|null|true|false|undefined|todo|test|dummy|placeholder|redacted)$")
 
 _TOKEN = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
-    r"""|(?P<tag><(?P<t>[A-Za-z_][\w.-]*)>(?P<inner>[^<>\n]+)</(?P=t)>)"""
-    r"""|(?P<url>[a-z][a-z0-9+.-]*://[^\s/:@"']+:(?P<pw>[^\s/@"']+)@)"""
+    r"""(?P<string>(?<!\\)"(?:[^"\\\n]|\\.)*+"|(?<!\\)'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)"""
+    r"""|(?P<tag><(?P<t>[A-Za-z_][\w.-]*+)>(?P<inner>[^<>\n]++)</(?P=t)>)"""
+    r"""|(?P<url>(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]*+://[^\s/:@"']++:(?P<pw>[^\s/@"']++)@)"""
     r"""|(?P<flag>--[A-Za-z][\w-]*)"""
     r"""|(?P<name>[A-Za-z_$][\w$]*(?:(?:[.-]|->)[A-Za-z_]\w*)*)"""
     r"""|(?P<number>\d[\w.]*)"""
-    r"""|(?P<op>=>|:=|==|!=|<=|>=|\?=|\+=|[=:+,;(){}\[\]<>!|&])"""
-    r"""|(?P<line>\n)""",
+    r"""|(?P<op>=>|:=|==|!=|<=|>=|\?=|\+=|[=:+,;(){}\[\]<>!|&])""",
     re.ASCII,
 )
+#: lines that may hold a pair, and what they are told by
+_LINE, _TRIGGER = re.compile(r"[^\n]+"), re.compile(r"[:=<]|--[A-Za-z]")
 #: what may lie between a flag and its value
 _BLANKS = re.compile(r"[ \t]*")
-#: an unquoted value: up to the end of the word
-_BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
+#: an unquoted value: up to the end of the word, with equals signs only at that end; and up to the next sign
+_BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>=]++(?:=++(?=[\s\"'`,;(){}\[\]<>]|\Z))?")
+_SHORT = re.compile(r"[^\s\"'`,;(){}\[\]<>=:]+")
+_ASSIGNS = frozenset(["=", ":", ":=", "=>", "?=", "+="])
+#: kinds of tokens
+STRING, TAG, URL, FLAG, NAME, NUMBER, OP = range(7)
+_KIND = {"string": STRING, "tag": TAG, "t": TAG, "inner": TAG, "url": URL, "pw": URL, "flag": FLAG, "name": NAME, "number": NUMBER, "op": OP}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -81,37 +92,40 @@ def literal_score(literal: str) -> float:
 
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals whose sensitive target names score THRESHOLD or more."""
-    tokens = [m for m in _TOKEN.finditer(text)]
     pairs: list[tuple[str, list[tuple[int, int]], list[str]]] = []
     found: dict[tuple[int, int], float] = {}
+    scores: dict[str, int] = {}
+
+    def score_of(name: str) -> int:
+        if name not in scores:
+            scores[name] = name_score(name)
+        return scores[name]
 
     def consider(score: int, span: tuple[int, int]) -> None:
-        found[span] = max(found.get(span, -99.0), score and score + literal_score(text[slice(*span)]))
-
-    n = len(tokens)
-    for k, m in enumerate(tokens):
-        kind = m.lastgroup if m.lastgroup not in ("t", "inner", "pw") else "tag" if m.group("tag") else "url"
-        if kind == "tag":
-            consider(name_score(m.group("t")), m.span("inner"))
-        elif kind == "url":
-            consider(NAMES["password"], m.span("pw"))
-        elif kind == "flag" and k + 1 < n and (tokens[k + 1].start() - m.end() <= 2 or _BLANKS.fullmatch(text, m.end(), tokens[k + 1].start())) and tokens[k + 1].lastgroup in ("string", "name", "number"):
-            if tokens[k + 1].lastgroup == "string":
-                pairs.append((m.group()[2:], [(tokens[k + 1].start() + 1, tokens[k + 1].end() - 1)], []))
-            elif b := _BARE.match(text, tokens[k + 1].start()):
-                pairs.append((m.group()[2:], [b.span()], []))
-        elif kind in ("name", "string", "flag") and k + 1 < n and tokens[k + 1].lastgroup == "op" and tokens[k + 1].group() in ("=", ":", ":=", "=>", "?=", "+="):
-            name = m.group().strip("\"'`-")
-            literals, names = _value(text, tokens, k + 2, tokens[k + 1].end(), tokens[k + 1].group())
-            if literals or names:
-                pairs.append((name, literals, names))
+        if score:
+            found[span] = max(found.get(span, -99.0), score + literal_score(text[slice(*span)]))
+
+    for line in _LINE.finditer(text):
+        if not _TRIGGER.search(text, *line.span()):
+            continue
+        kinds, starts, ends = bytearray(), array("q"), array("q")
+        for m in _TOKEN.finditer(text, *line.span()):
+            kind = _KIND[m.lastgroup]
+            if kind == TAG:
+                consider(score_of(m.group("t")), m.span("inner"))
+            elif kind == URL:
+                consider(NAMES["password"], m.span("pw"))
+            kinds.append(kind)
+            starts.append(m.start())
+            ends.append(m.end())
+        _pairs(text, line.end(), kinds, starts, ends, pairs)
     # constants: a literal counts for the most sensitive name that its own name's value reaches
     sources: dict[str, set[str]] = {}
     for name, _, names in pairs:
         sources.setdefault(name, set()).update(names)
     reached: dict[str, int] = {}
-    for first in sorted(sources, key=name_score, reverse=True):
-        if not (score := name_score(first)):
+    for first in sorted(sources, key=score_of, reverse=True):
+        if not (score := score_of(first)):
             break
         todo = [first]
         while todo:
@@ -124,45 +138,61 @@ def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, "lexed") for (a, b), s in sorted(found.items()) if s >= THRESHOLD]
 
 
-def _value(text: str, tokens: list, k: int, at: int, op: str) -> tuple[list[tuple[int, int]], list[str]]:
-    """Literals and names of an assignment's right side: strings and names joined by +, calls around them, or a bare word."""
+def _pairs(text: str, end: int, kinds: bytearray, starts: array, ends: array, pairs: list) -> None:
+    """Adds the name-literal pairs of a line's tokens: (name, spans of literals, names in the value)."""
+    n, bare_end = len(kinds), -1
+    for k in range(n - 1):
+        kind, then = kinds[k], kinds[k + 1]
+        if kind == FLAG and then in (STRING, NAME, NUMBER) and (starts[k + 1] - ends[k] <= 2 or _BLANKS.fullmatch(text, ends[k], starts[k + 1])):
+            if then == STRING:
+                pairs.append((text[starts[k] + 2 : ends[k]], [(starts[k + 1] + 1, ends[k + 1] - 1)], []))
+            elif b := _BARE.match(text, starts[k + 1], end):
+                pairs.append((text[starts[k] + 2 : ends[k]], [b.span()], []))
+        elif kind in (NAME, STRING, FLAG) and then == OP and text[starts[k + 1] : ends[k + 1]] in _ASSIGNS:
+            literals, names, bare = _value(text, end, kinds, starts, ends, k + 1, _SHORT if starts[k] < bare_end else _BARE)
+            bare_end = max(bare_end, bare)
+            if literals or names:
+                pairs.append((text[starts[k] : ends[k]].strip("\"'`-"), literals, names))
+
+
+def _value(text: str, end: int, kinds: bytearray, starts: array, ends: array, k: int, word: re.Pattern) -> tuple[list[tuple[int, int]], list[str], int]:
+    """Literals and names right of the sign k: strings and names joined by +, calls around them, or a bare word; and where that word ends."""
     literals: list[tuple[int, int]] = []
     names: list[str] = []
-    i, deep, glue = k, 0, True
-    while i < len(tokens):
-        m = tokens[i]
-        kind, word = m.lastgroup, m.group()
-        if kind == "line" or kind == "op" and word in (",", ";", "}", "]") and not deep:
+    deep, glue = 0, True
+    for i in range(k + 1, len(kinds)):
+        kind, own = kinds[i], text[starts[i] : ends[i]] if kinds[i] == OP else ""
+        if own in (",", ";", "}", "]") and not deep:
             break
-        if kind == "string" and glue:
-            literals.append((m.start() + 1, m.end() - 1))
+        if kind == STRING and glue:
+            literals.append((starts[i] + 1, ends[i] - 1))
             glue = False
-        elif kind == "name" and glue:
-            names.append(word)
-            glue = i + 1 < len(tokens) and tokens[i + 1].group() == "("
-        elif kind == "op" and word in ("+", "(", ",", ".", "|"):
-            deep += word == "("
+        elif kind == NAME and glue:
+            names.append(text[starts[i] : ends[i]])
+            glue = i + 1 < len(kinds) and kinds[i + 1] == OP and text[starts[i + 1]] == "("
+        elif own in ("+", "(", ",", ".", "|"):
+            deep += own == "("
             glue = True
-        elif kind == "op" and word == ")":
+        elif own == ")":
             deep -= 1
             if deep < 0:
                 break
         else:
             break
-        i += 1
+    at = -1
     if not literals:
-        gap = re.compile(r"[ \t]*").match(text, at).end()
-        bare = _BARE.match(text, gap)
-        if bare and not (names and bare.group() in names and bare.group().isidentifier() and op != "="):
-            literals = [bare.span()] if bare.group() not in names or any(c.isdigit() for c in bare.group()) else []
-    return literals, names
+        bare = word.match(text, _BLANKS.match(text, ends[k], end).end(), end)
+        if bare:
+            at, value, known = bare.end(), bare.group(), bare.group() in names
+            if not (known and value.isidentifier() and text[starts[k] : ends[k]] != "=") and (not known or any(c.isdigit() for c in value)):
+                literals = [bare.span()]
+    return literals, names, at
 
 
 def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans), each sorted by start, then kind."""
     base = base_spans(text)
-    added = [s for s in lexed_spans(text) if all(s[1] <= b[0] or s[0] >= b[1] for b in base)]
-    return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    return base, sorted(base + lexed_spans(text), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 _HEXDIGIT = np.zeros(256, bool)
