@@ -7,8 +7,8 @@ a task holds at most two blocks, however hot a bucket.  A tile compares its memb
 per member, how many rows it links with and the least member of its group in the tile: rows in proportion to members.
 A pair that shares several buckets counts in the one with the least key only.
 
-Where a second verification is given, the first only finds the members of tiles that may link: the long payloads that
-the second compares are fetched for those alone, and only their tiles are formed again.
+Two looks: first, only short sketches go to the tiles, and find the members that may link; then those members alone are fetched with all
+that the verdict needs (payload, copies, and such keys as are less than the tile's), and only their tiles are formed again.
 """
 
 from __future__ import annotations
@@ -23,17 +23,19 @@ from .shared import materialize
 from .textops import lean
 
 #: members of a block; a tile holds two.
-BLOCK = 512
-#: (payloads of some members, of others) -> whether each pair links
+BLOCK = 1024
+#: copies of one class may be a third of all rows, a component may hold a third of all classes: their joins with one row of it are spread over so many keys
+SALTS = 16
+#: (sketches of some members, of others) -> whether each pair may link
 Verify = Callable[[np.ndarray, np.ndarray], np.ndarray]
-#: (numbers of all members one after another, where each begins, some members, others) -> whether each pair links
+#: (bytes of all members' payloads, where each begins, some members, others) -> whether each pair links
 VerifyLong = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def bucket_links(spark: SparkSession, items: DataFrame, verify: Verify, dtype: str, payloads: Callable[[DataFrame], DataFrame] | None = None, verify_long: VerifyLong | None = None) -> tuple[DataFrame, DataFrame]:
-    """items: rep long (unique), copies long, keys array<long> (distinct), payload binary of numbers of dtype.
+def bucket_links(spark: SparkSession, items: DataFrame, verify: Verify, dtype: str, payloads: Callable[[DataFrame], DataFrame], verify_long: VerifyLong) -> tuple[DataFrame, DataFrame]:
+    """items: rep long (unique), keys array<long> (distinct), sketch binary of numbers of dtype, equally many for all in a bucket.
 
-    payloads takes a table of distinct rep to their (rep, payload) of numbers of dtype uint32, for verify_long.
+    payloads takes a table of distinct rep to their (rep, copies long, keys, payload binary), for verify_long.
     Returns (rep, linked: rows of other representatives that rep links with) and edges (big, small)
     that connect what is linked.
     """
@@ -44,23 +46,39 @@ def bucket_links(spark: SparkSession, items: DataFrame, verify: Verify, dtype: s
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     tiles = rows.join(buckets.select("key", blocks.alias("c")), "key").withColumn("a", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("c")).cast("int"))
     tiles = tiles.select("key", "rep", "a", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("b")).select("key", "rep", "a", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
-    full = tiles.join(items, "rep")
-    full = full.select("key", "i", "j", "a", "rep", "copies", "keys", "payload")
-    if payloads is not None:
-        maybe = _by_tile(full).mapInArrow(lean(_tiles(_some(verify, dtype))), "key long, i int, j int, a int, rep long, copies long, keys array<long>")
-        maybe = materialize(spark, maybe, "maybe")
-        full = maybe.join(payloads(maybe.select("rep").distinct()), "rep").select("key", "i", "j", "a", "rep", "copies", "keys", "payload")
-    found = _by_tile(full).mapInArrow(lean(_tiles(_links(_long(verify_long) if payloads is not None else _matrix(verify, dtype)))), "rep long, linked long, lead long")
+    short = tiles.join(items.select("rep", "sketch"), "rep").select("key", "i", "j", "a", "rep", "sketch")
+    maybe = _by_tile(short).mapInArrow(lean(_tiles(_some(matrix(verify, dtype)))), "key long, i int, j int, a int, rep long")
+    maybe = materialize(spark, maybe, "maybe")
+    full = maybe.join(payloads(maybe.select("rep").distinct()), "rep")
+    full = full.select("key", "i", "j", "a", "rep", "payload", "copies", F.expr("filter(keys, k -> k < key)").alias("keys"))
+    found = _by_tile(full).mapInArrow(lean(_tiles(_links(verify_long))), "rep long, linked long, lead long")
     found = materialize(spark, found, "links")
     edges = found.where("rep <> lead").select(F.greatest("rep", "lead").alias("big"), F.least("rep", "lead").alias("small")).distinct()
     return found.groupBy("rep").agg(F.sum("linked").alias("linked")), edges
 
 
+def distinct_reps(classes: DataFrame) -> DataFrame:
+    """classes (of distinct h1, h2) with a distinct rep: h1, and in the rare case that classes share it a hash of both."""
+    clash = classes.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1", F.lit(True).alias("clash"))
+    if clash.isEmpty():
+        return classes.withColumn("rep", F.col("h1"))
+    marked = classes.join(clash, "h1", "left")
+    return marked.withColumn("rep", F.when(F.col("clash"), F.xxhash64("h1", "h2", F.lit(5))).otherwise(F.col("h1"))).drop("clash")
+
+
+def with_least(groups: DataFrame) -> DataFrame:
+    """groups (root, rep, first) with component_id, the least first of its root; salted, as a component may be most of all."""
+    least = groups.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return groups.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"]).drop("salt")
+
+
 def _by_tile(full: DataFrame) -> DataFrame:
     return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
 
-def _matrix(verify: Verify, dtype: str):
+def matrix(verify: Verify, dtype: str) -> VerifyLong:
+    """verify for payloads of equally many numbers of dtype."""
+
     def run(raw: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         x = raw[at[0] : at[-1]].view(dtype).reshape(len(at) - 1, -1)
         return verify(x[left], x[right])
@@ -68,13 +86,6 @@ def _matrix(verify: Verify, dtype: str):
     return run
 
 
-def _long(verify: VerifyLong):
-    def run(raw: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return verify(raw[at[0] : at[-1]].view(np.uint32), (at - at[0]) // 4, left, right)
-
-    return run
-
-
 def _tiles(held_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -102,7 +113,7 @@ def _tiles(held_of):
 def _pairs(t: pa.Table, linking) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(start, end, members, members that they link with) of the complete tiles in a table."""
     key, i, j, a = (t.column(k).to_numpy() for k in range(4))
-    data = t.column(7).chunk(0)
+    data = t.column(5).chunk(0)
     data_at = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, data.offset * 4).astype(np.int64)
     raw = np.frombuffer(data.buffers()[2], np.uint8)
     cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
@@ -120,15 +131,15 @@ def _pairs(t: pa.Table, linking) -> Iterator[tuple[int, int, np.ndarray, np.ndar
             yield p, q, left[u], right[v]
 
 
-def _some(verify: Verify, dtype: str):
+def _some(linking):
     """Of complete tiles, the members that may link."""
 
     def run(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held:
             t = pa.Table.from_batches(held).combine_chunks()
-            some = [p + np.unique(np.concatenate([u, v])) for p, _, u, v in _pairs(t, _matrix(verify, dtype))]
+            some = [p + np.unique(np.concatenate([u, v])) for p, _, u, v in _pairs(t, linking)]
             if some:
-                yield from t.select(range(7)).take(pa.array(np.concatenate(some))).combine_chunks().to_batches()
+                yield from t.select(range(5)).take(pa.array(np.concatenate(some))).combine_chunks().to_batches()
 
     return run
 
@@ -140,13 +151,13 @@ def _links(linking):
         if not held:
             return
         t = pa.Table.from_batches(held).combine_chunks()
-        key, rep, copies = (t.column(k).to_numpy() for k in (0, 4, 5))
-        keys = t.column(6).chunk(0)
+        key, rep, copies = (t.column(k).to_numpy() for k in (0, 4, 6))
+        keys = t.column(7).chunk(0)
         key_at, key_of = keys.offsets.to_numpy(), keys.values.to_numpy()
         out: list[list[np.ndarray]] = [[], [], []]
         for p, q, u, v in _pairs(t, linking):
             own = [key_of[key_at[r] : key_at[r + 1]] for r in range(p, q)]
-            new = ~_earlier(own, int(key[p]), u, v)
+            new = ~_earlier(own, u, v)
             linked = np.zeros(q - p, np.int64)
             np.add.at(linked, u[new], copies[p + v[new]])
             np.add.at(linked, v[new], copies[p + u[new]])
@@ -168,12 +179,10 @@ def _links(linking):
     return run
 
 
-def _earlier(own: list[np.ndarray], key: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Whether members u and v also share a key less than this one."""
+def _earlier(own: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Whether members u and v share a key less than the tile's."""
     who = np.repeat(np.arange(len(own)), [len(k) for k in own])
     keys = np.concatenate(own)
-    less = keys < key
-    who, keys = who[less], keys[less]
     names, at, count = np.unique(keys, return_inverse=True, return_counts=True)
     twice = count > 1
     if not twice.any():

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .links import bucket_links, components
+from .links import SALTS, bucket_links, components, distinct_reps, with_least
 from .minhash import occurrences, overlaps, shingles, signatures
 from .shared import materialize
 from .textops import U64, bounded_batches, buffers, lean, mix, trim, words_of
@@ -81,7 +81,8 @@ def _verify(threshold: float):
 
 
 def _verify_long(threshold: float):
-    def verify(cells: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    def verify(raw: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        cells, offsets = raw[at[0] : at[-1]].view(np.uint32), (at - at[0]) // 4
         common, n = overlaps(cells, offsets), np.diff(offsets)
         return (common / (n[:, None] + n - common) >= threshold)[np.ix_(left, right)]
 
@@ -89,11 +90,11 @@ def _verify_long(threshold: float):
 
 
 def _cells(size: int):
-    """Of texts with words: h1 of the class and the 32-bit hashes of its occurrences of shingles, equal ones once."""
+    """Of texts with words: h1 and h2 of the class and the 32-bit hashes of its occurrences of shingles, equal ones once."""
 
     def run(batches):
         for batch in batches:
-            (h1, _), some = _class_keys(batch.column(0))
+            keys, some = _class_keys(batch.column(0))
             raw, offsets = buffers(batch.column(0))
             cells: list[bytes] = []
             for _, _, w in words_of(raw, offsets):
@@ -102,7 +103,7 @@ def _cells(size: int):
                     x = (mix(e + mix(cell.astype(U64))) >> U64(32)).astype(np.uint32)
                 at = np.searchsorted(row, np.arange(len(w.offsets)))
                 cells += [np.unique(x[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64), mask=~some), pa.array(cells, pa.binary())], names=["rep", "payload"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64), mask=~some) for x in keys], pa.array(cells, pa.binary())], names=["h1", "h2", "payload"])
 
     return run
 
@@ -116,26 +117,22 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, k: int, rows: int, shin
     signed = materialize(spark, texts.mapInArrow(lean(_sign(k, rows, shingle)), f"id {kind}, h1 long, h2 long, keys array<long>, payload binary"), "signed")
     # all copies have one signature, so the first of each map task stands for them
     classes = signed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("payload").alias("payload"))
-    classes = materialize(spark, classes.withColumn("rep", F.col("h1")), "classes")
+    classes = distinct_reps(materialize(spark, classes, "classes"))
 
     def payloads(reps: DataFrame) -> DataFrame:
-        cells = texts.select("text").mapInArrow(lean(_cells(shingle)), "rep long, payload binary").where("rep is not null")
-        return cells.join(reps, "rep").groupBy("rep").agg(F.first("payload").alias("payload"))
+        cells = texts.select("text").mapInArrow(lean(_cells(shingle)), "h1 long, h2 long, payload binary").where("h1 is not null")
+        wanted = classes.select("rep", "h1", "h2", "copies", "keys").join(reps, "rep")
+        # of the copies of a class one is wanted: the first of each task before the shuffle, however many there are
+        return cells.join(wanted.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("payload").alias("payload")).join(wanted, ["h1", "h2"]).select("rep", "copies", "keys", "payload")
 
-    linked, edges = bucket_links(spark, classes.select("rep", "copies", "keys", "payload"), _verify(threshold / 2), "uint16", payloads, _verify_long(threshold))
+    linked, edges = bucket_links(spark, classes.select("rep", "keys", F.col("payload").alias("sketch")), _verify(threshold / 2), "uint16", payloads, _verify_long(threshold))
     root = components(spark, edges)
     groups = classes.select("h1", "h2", "rep", "first", "copies").join(linked, "rep", "left").join(root.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or linked is not null")
-    groups = materialize(spark, groups, "groups")
-    least = groups.groupBy(F.coalesce("root", "rep").alias("root")).agg(F.min("first").alias("component_id"))
-    groups = groups.withColumn("root", F.coalesce("root", "rep")).join(least, "root")
+    groups = with_least(materialize(spark, groups.withColumn("root", F.coalesce("root", "rep")), "groups"))
     n_links = F.col("copies") - 1 + F.coalesce("linked", F.lit(0))
     return signed.select("id", "h1", "h2"), groups.select("h1", "h2", "first", n_links.alias("n_links"), "component_id")
 
 
-#: copies of one class may be a third of all rows: their join with the class is spread over so many keys
-SALTS = 16
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, rows: int = ROWS, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least id of its copies), n_links, component_id, kept for each document."""
     member, groups = _groups(docs, id_col, text_col, k, rows, shingle, threshold)

@@ -53,18 +53,34 @@ def test_no_vectors(spark):
     assert [tuple(r) for r in near_vectors.near_duplicates(spark.createDataFrame([(1, None)], schema)).collect()] == [(1, 0, 1, True)]
 
 
-@pytest.mark.parametrize("n", [1000, 50_000, 1_000_000])
-def test_filter_recall_at_the_threshold(n):
+@pytest.mark.parametrize(("n", "pairs"), [(1000, 2000), (50_000, 2000), (1_000_000, 2000), (100_000_000, 300), (1_000_000_000, 150)])
+def test_filter_recall_at_the_threshold(n, pairs):
     f, rng = near_vectors.Filters(64, n), np.random.RandomState(0)
-    x = rng.standard_normal((600, 64))
+    x = rng.standard_normal((pairs, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    z = rng.standard_normal((600, 64))
+    z = rng.standard_normal((pairs, 64))
     z -= (z * x).sum(axis=1)[:, None] * x
     z /= np.linalg.norm(z, axis=1)[:, None]
     found = [len(np.intersect1d(a, b)) > 0 for a, b in zip(f.decode(x), f.decode(0.9 * x + math.sqrt(0.19) * z))]
     assert np.mean(found) > 0.99
 
 
+def test_sketches_lose_no_link():
+    rng = np.random.RandomState(1)
+    x = rng.standard_normal((300, 24)) * 10.0 ** rng.randint(-2, 3, (300, 24))  # few large components: rounding takes much away
+    x = np.concatenate([x, x + rng.standard_normal((300, 24)) * np.linalg.norm(x, axis=1)[:, None] * rng.uniform(0, 0.2, (300, 1))])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    s, near = near_vectors.sketches(unit), near_vectors.cosines(x, x) >= 0.9
+    may = near_vectors.may_link(0.9)(s, s)
+    assert near.sum() > 700 and not (near & ~may).any() and may.sum() < 1.3 * near.sum()
+
+
+def test_classes_that_share_a_hash(spark):
+    rows = [(1, 1, "a"), (1, 2, "b"), (2, 2, "c"), (3, 1, "d")]
+    got = {r.name: r.rep for r in links.distinct_reps(spark.createDataFrame(rows, "h1 long, h2 long, name string")).collect()}
+    assert len(set(got.values())) == 4 and (got["c"], got["d"]) == (2, 3)
+
+
 def signs(texts):
     return np.concatenate([signatures(*shingles(w.hashes, w.offsets, near_text.SHINGLE), near_text.K) for w in [Words(*buffers(pa.array(texts, pa.string())))]])
 
