@@ -181,6 +181,8 @@ def _links(linking):
 
 def _earlier(own: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Whether members u and v share a key less than the tile's."""
+    if len(u) <= 8:
+        return np.array([(own[a][:, None] == own[b]).any() for a, b in zip(u, v)], bool)
     who = np.repeat(np.arange(len(own)), [len(k) for k in own])
     keys = np.concatenate(own)
     names, at, count = np.unique(keys, return_inverse=True, return_counts=True)

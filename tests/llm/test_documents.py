@@ -317,6 +317,7 @@ def test_decontamination_against_brute_force(spark, docs_of, monkeypatch, block,
     want = brute_report(docs, items, window)
     got = decontaminate.contamination_report(docs_of(docs), benchmark, window=window).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+    assert str(decontaminate.contamination_report(docs_of(docs), benchmark, window=window)._jdf.queryExecution()).count("MapInArrow") <= 8, "as many Python steps for any benchmark"
     kept = decontaminate.drop_contaminated(docs_of(docs), benchmark, window=window)
     assert kept.columns == docs_of(docs).columns and sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in want if not r[5])
 
