@@ -167,13 +167,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     groups = materialize(docs.sparkSession, groups, "kept")
     salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     member = member.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(salted, ["h1", "h2", "salt"])
-    dropped = member.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct()
-    names = docs.columns
-    df = docs.withColumn("__class", class_of(F.col(text_col).cast("string")))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__class.h1") == F.col("__h1")) & (F.col("__class.h2") == F.col("__h2"))
+    dropped = member.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("d_id"), F.col("h1").alias("d_h1"), F.col("h2").alias("d_h2")).distinct()
+    # the documents' columns are in a struct: their names don't meet those made here
+    df = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), class_of(F.col(text_col).cast("string")).alias("class")).select("row", "id", "class.h1", "class.h2")
+    same = F.col("id").eqNullSafe(F.col("d_id")) & (F.col("h1") == F.col("d_h1")) & (F.col("h2") == F.col("d_h2"))
     df = df.join(dropped, same, "left_anti")
     again = member.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("h1", "h2", "id").count().where("count > 1")
     if not again.isEmpty():
-        once = df.where("__class.h1 is not null").withColumn("__h1", F.col("__class.h1")).withColumn("__h2", F.col("__class.h2")).dropDuplicates([id_col, "__h1", "__h2"]).drop("__h1", "__h2")
-        df = df.where("__class.h1 is null").unionByName(once)
-    return df.select(names)
+        df = df.where("h1 is null").unionByName(df.where("h1 is not null").dropDuplicates(["id", "h1", "h2"]))
+    return df.select("row.*")

@@ -98,19 +98,30 @@ class Scorer:
         self.weights, self.presence = weights.astype(np.float32), presence
 
     def logits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(offsets) - 1)
-        for i, j in slices(offsets):
-            a, b = int(offsets[i]), int(offsets[j])
-            slots, rows = features(raw[a:b], offsets[i : j + 1] - a)
-            if self.presence:
-                out[i:j] = _presence(self.weights, slots, rows)
-            else:
-                sums = segment_sums(self.weights[slots].sum(axis=0, dtype=np.float64), rows)
-                out[i:j] = sums * SCALE / np.maximum(np.diff(rows), 1)
+        return logits([self], raw, offsets)[:, 0]
+
+    def of(self, slots: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Dot products of rows given by their features."""
+        if self.presence:
+            out = _presence(self.weights, slots, rows)
+        else:
+            out = segment_sums(self.weights[slots].sum(axis=0, dtype=np.float64), rows) * SCALE / np.maximum(np.diff(rows), 1)
         return out + float(self.weights[DIMENSIONS])
 
-    def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(raw, offsets), -35, 35)))
+
+def logits(scorers: list[Scorer], raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(rows, scorers) logits; the features of a text are formed once."""
+    out = np.zeros((len(offsets) - 1, len(scorers)))
+    for i, j in slices(offsets):
+        a, b = int(offsets[i]), int(offsets[j])
+        slots, rows = features(raw[a:b], offsets[i : j + 1] - a)
+        for k, s in enumerate(scorers):
+            out[i:j, k] = s.of(slots, rows)
+    return out
+
+
+def probabilities(scorers: list[Scorer], raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logits(scorers, raw, offsets), -35, 35)))
 
 
 #: values of the mean features are counts times SCALE over words, so that learning rates suit them.
@@ -155,7 +166,7 @@ def _sparse(presence: bool):
     return run
 
 
-def _fit(max_rows: int, n_labels: int, epochs: int, options: dict):
+def _fit(n_labels: int, epochs: int, options: dict):
     def run(batches):
         # id -> (slots, values, labels, order): views of the batches, so the rows are held once
         best: dict[str, tuple] = {}
@@ -169,7 +180,6 @@ def _fit(max_rows: int, n_labels: int, epochs: int, options: dict):
                     best[name] = (own, x, y, key)
         rows = sorted(best.values(), key=lambda r: r[3])  # the fit doesn't depend on the order of arrival
         del best
-        rows = rows[:: max(1, -(-len(rows) // (2 * max_rows)))]
         for k in range(n_labels):
             own = [(i, x, float(y[k])) for i, x, y, _ in rows]
             w = ftrl(own, epochs, **options) if len({y for _, _, y in own}) > 1 else _constant([y for _, _, y in own])
@@ -189,7 +199,7 @@ def _constant(ys: list[float]) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", presence: bool = False, max_rows: int = 20_000, epochs: int = 3, **options) -> dict[str, Scorer]:
     """One binary classifier per target: a boolean-valued column over ``labels``.
 
-    At most about max_rows labelled rows are used, those whose id hashes lowest.
+    Labelled rows whose id hashes below max_rows / labelled ids are used: max_rows on average, with a standard deviation under its square root.
     """
     bounded_batches(docs.sparkSession)
     names = list(targets)
@@ -200,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], id_col:
     picked = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # the bound max_rows on the right side is what makes this broadcast safe
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "__id").select("text", "y", F.col("__id").cast("string").alias("id"))
-    found = rows.mapInArrow(lean(_sparse(presence)), "id string, y array<double>, slots binary, x binary").repartition(1).mapInArrow(lean(_fit(max_rows, len(names), epochs, options)), "k int, w binary").collect()
+    found = rows.mapInArrow(lean(_sparse(presence)), "id string, y array<double>, slots binary, x binary").repartition(1).mapInArrow(lean(_fit(len(names), epochs, options)), "k int, w binary").collect()
     weights = {r.k: np.frombuffer(r.w, np.float32) for r in found}
     return {t: Scorer(weights.get(i, _constant([])), presence) for i, t in enumerate(names)}
 
@@ -214,7 +224,7 @@ def score_column(scorers: list[Scorer]) -> Callable[[Column], Column]:
     @arrow_udf("array<double>")
     def score(text: pa.Array) -> pa.Array:
         raw, offsets = buffers(text)
-        p = np.stack([Scorer(w, presence)(raw, offsets) for w, presence in shared], axis=1)
+        p = probabilities([Scorer(w, presence) for w, presence in shared], raw, offsets)
         trim()
         return pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
 

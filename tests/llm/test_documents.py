@@ -5,6 +5,7 @@ import os
 import random
 import re
 import time
+import warnings
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
-from quernel.llm import decontaminate, mixing, quality, secrets, tokenfile
+from quernel.llm import decontaminate, mixing, near_text, quality, secrets, tokenfile
 from quernel.llm.queries import tokenizer_path
 
 from .test_textops import python_words
@@ -203,7 +204,7 @@ def test_scores_are_sparse_dot_products():
 def test_mixing(spark, docs_of, edge_docs):
     rows, labels = labelled(spark, 400)
     docs = docs_of(rows)
-    got = mixing.mixture(docs, labels).collect()
+    got = mixing.mixture(docs, labels, max_rate=1.0).collect()
     tokens = {d: sum(r.n_tokens * r.rate * r[f"p_{d}"] for r in got) for d in mixing.DOMAINS}
     for d, w in mixing.WEIGHTS.items():
         assert abs(tokens[d] / sum(tokens.values()) - w) < 0.02
@@ -211,23 +212,77 @@ def test_mixing(spark, docs_of, edge_docs):
     truth = {r.doc_id: (r.quality, r.toxic) for r in labels.collect()}
     assert np.mean([r.copies for r in got if truth[r.doc_id] == (1, 0)]) > 0.97
     assert {r.n_tokens for r in got} == {len(python_words(t)) for _, t in rows}
-    mixed = mixing.mix(docs, labels)
+    mixed = mixing.mix(docs, labels, max_rate=1.0)
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} == {r.doc_id for r in got if r.copies}
     twice = mixing.mix(docs, labels, {"good": 0.5, "toxic": 0.5}, max_rate=None).groupBy("doc_id").count().collect()
     assert max(r["count"] for r in twice) > 1
     assert mixing.mixture(edge_docs, labels.where("false")).count() == edge_docs.count() and mixing.mix(docs_of([]), labels).count() == 0
 
 
-def test_fitted_rates_match_projected_gradient(spark):
+def projected_gradient(p, n, target, most, rounds=20_000):
+    """Least |sum of r n p - target| over 0 <= r <= most, by plain accelerated projected gradients."""
+    a = (p * n[:, None] / target.sum()).T
+    r = s = np.ones(len(n))
+    rate, t = 1 / np.linalg.norm(a, 2) ** 2, 1.0
+    for _ in range(rounds):
+        new = np.clip(s - rate * (a.T @ (a @ s - target / target.sum())), 0, most)
+        t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        s, r = new + (old - 1) / t * (new - r), new
+    return r, float(np.sum((a @ r - target / target.sum()) ** 2))
+
+
+@pytest.mark.parametrize("most", [None, 1.0])
+@pytest.mark.parametrize("weights", [{"low": 0.2, "good": 0.5, "toxic": 0.3}, {"low": 0.01, "good": 0.98, "toxic": 0.01}])
+def test_fitted_rates_match_projected_gradient(spark, most, weights):
     rng = np.random.RandomState(1)
     p = rng.dirichlet([0.3, 0.3, 0.3], 200)
     n = rng.randint(1, 50, 200)
-    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n long, p array<double>")
-    weights = {"low": 0.2, "good": 0.5, "toxic": 0.3}
-    steps = mixing.fit_rates(members, weights, "good", None)
-    r = mixing._rates(p, steps, np.inf)
-    total = (r * n) @ p
-    assert r.min() >= 0 and np.allclose(total / total.sum(), [0.2, 0.5, 0.3], atol=1e-4)
+    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n long, p array<double>").coalesce(1)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        fit = mixing.fit_rates(members, weights, "good", most)
+    r = mixing._rates(p, fit.steps, np.inf if most is None else most)
+    assert r.min() >= 0 and np.allclose((r * n) @ p, fit.totals)
+    off = float(np.sum(((fit.totals - fit.target) / fit.target.sum()) ** 2))
+    _, least = projected_gradient(p, n, fit.target, np.inf if most is None else most)
+    assert off <= least * 1.05 + 1e-7
+    assert (fit.residual < mixing.WARN) == (least < 1e-7)
+
+
+def test_rates_near_one_are_the_nearest(spark):
+    """Where no rate meets a bound, of all rates that meet the targets those nearest to 1 are found: 1 + p . v for one v."""
+    rng = np.random.RandomState(2)
+    p, n = rng.dirichlet([2, 2, 2], 300), rng.randint(1, 50, 300)
+    share = n @ p / n.sum()
+    weights = dict(zip(mixing.DOMAINS, share * [1.02, 1.0, 0.97]))
+    fit = mixing.fit_rates(spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n long, p array<double>"), weights, "good", None)
+    v = np.linalg.solve((p * n[:, None]).T @ p, fit.target - n @ p)
+    assert np.allclose(mixing._rates(p, fit.steps, np.inf), 1 + p @ v, atol=1e-5)
+
+
+def test_targets_out_of_reach_are_told(spark, docs_of):
+    rows, labels = labelled(spark, 200)
+    with pytest.warns(UserWarning, match="can't be met"):
+        got = mixing.mixture(docs_of(rows), labels, {"low": 0.8, "good": 0.2}, max_rate=1.0).collect()
+    assert {r.residual for r in got} == {got[0].residual} and got[0].residual > 0.05
+    assert mixing.mixture(docs_of(rows), labels).first().residual < mixing.WARN
+
+
+def test_mixing_by_token_ids(spark, docs_of):
+    rows, labels = labelled(spark, 60)
+    got = mixing.mixture(docs_of([*rows, (900, None)]), labels, tokenizer=tokenizer_path()).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(x) for (i, _), x in zip([*rows, (900, None)], plain_ids([t for _, t in rows] + [None]))}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows, labels = labelled(spark, 60)
+    names = ["doc_id", "text", "__rate", "__hash", "__copies", "__again", "__id", "__h1", "__h2", "__class", "row", "salt", "h1", "h2", "copies", "rate", "hash", "id", "number", "windows", "n_words"]
+    docs = spark.createDataFrame([(i, t, *range(len(names) - 2)) for i, t in [*rows, rows[3], rows[3]]], f"doc_id long, text string, {', '.join(f'{n} int' for n in names[2:])}")
+    benchmark = spark.createDataFrame([(1, rows[2][1])], "item_id long, text string")
+    for out in (near_text.keep_one(docs), mixing.mix(docs, labels), mixing.mix(docs, labels, max_rate=1.0), decontaminate.drop_contaminated(docs, benchmark), quality.keep_good(docs, quality.quality_scorer(docs, labels))):
+        got = out.collect()
+        assert out.columns == names and got and all(tuple(r)[2:] == tuple(range(len(names) - 2)) for r in got)
+    assert near_text.keep_one(docs).where("doc_id = 3").count() == 1
 
 
 # token files
