@@ -31,8 +31,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay at the rates that bring the domains to their target weights."""
-    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents stay at the rates, 1 at most, that bring the domains nearest to their target weights by the token ids of the next stage."""
+    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), max_rate=1.0, tokenizer=tokenizer_path())
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
