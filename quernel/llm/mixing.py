@@ -14,8 +14,8 @@ every row, and a warning says so where it is over ``WARN``: a domain without doc
 
 The total is set by the ``anchor`` domain: its tokens stay as many as they are, others follow by weight.  Rates are nonnegative; with
 ``max_rate`` they are projected to [0, max_rate]; at 1, documents are only ever thinned out (as the pipeline does, whose documents have just lost their copies).
-A rate's whole part is kept copies, its fraction the chance of one more, drawn by a hash of
-id and text: drawn shares vary about the expected ones as few documents with a fraction do (over 256 such documents of like size by about 3 % of the domain's share).
+A rate's whole part is kept copies, its fraction the chance of one more, drawn by a seeded hash of
+id and text; of ``SEEDS`` seeds, tried in one pass, that whose drawn tokens are nearest to the fitted totals is taken.
 
 Tokens are counted as words (see textops: an unspaced non-ASCII passage is one, whatever its length), or, where ``tokenizer`` names a file, as its ids with an
 end id, as token files hold them; that costs as much as writing those files does.
@@ -36,7 +36,7 @@ from pyspark.sql.functions import arrow_udf
 
 from . import quality
 from .shared import materialize
-from .textops import bounded_batches, buffers, slices, trim, words_of
+from .textops import U64, bounded_batches, buffers, mix as mix_bits, slices, trim, words_of
 from .tokenfile import encoder
 
 DOMAINS = ("low", "good", "toxic")
@@ -45,6 +45,8 @@ WEIGHTS = {"low": 0.02, "good": 0.94, "toxic": 0.04}
 STEPS, TOLERANCE, WARN = 60, 1e-6, 1e-3
 #: bounds of a step's parts that one pass weighs, largest first
 BOUNDS = (8.0, 2.0, 0.5, 0.1, 0.02, 0.004)
+#: draws of the rates' fractions, of which that nearest to the targets is taken
+SEEDS = 64
 
 
 def domain_scorers(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> list[quality.Scorer]:
@@ -167,19 +169,38 @@ def _bounded_step(moment: np.ndarray, gap: np.ndarray, bound: float) -> np.ndarr
     return v
 
 
-def _rate_column(steps: list[list[float]], max_rate: float | None):
-    most = np.inf if max_rate is None else float(max_rate)
+def _copies(rates: np.ndarray, keys: np.ndarray, seed: int) -> np.ndarray:
+    """Copies of documents by their rates: the whole part, and one more by a draw from the documents' keys."""
+    draw = (mix_bits(keys.view(U64) ^ mix_bits(np.array([seed + 1], U64))) >> U64(11)).astype(np.float64) * 2.0**-53
+    whole = np.floor(rates)
+    return (whole + (draw < rates - whole)).astype(np.int64)
 
-    @arrow_udf("double")
-    def rate(p: pa.Array) -> pa.Array:
-        return pa.array(_rates(p.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(DOMAINS)), steps, most))
 
-    return rate
+def draw_seed(members: DataFrame, fit: Fit, max_rate: float | None) -> int:
+    """Of SEEDS draws, that whose drawn tokens are nearest to the fitted totals.  members: n long, p array<double>, key long."""
+    k, most = len(fit.target), np.inf if max_rate is None else float(max_rate)
 
+    def run(batches):
+        total = np.zeros((SEEDS, k))
+        for batch in batches:
+            n, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+            p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            r = _rates(p, fit.steps, most)
+            some = np.flatnonzero(r != np.floor(r))
+            total += (n * np.floor(r)) @ p
+            for seed in range(SEEDS):
+                total[seed] += (n[some] * (_copies(r[some], keys[some], seed) - np.floor(r[some]))) @ p[some]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.ravel()], names=[f"x{i}" for i in range(SEEDS * k)])
 
-def _copies(rate: Column, name: Column, text_hash: Column) -> Column:
-    draw = F.shiftrightunsigned(F.xxhash64(name, text_hash, F.lit(11)), 11) / F.lit(float(1 << 53))
-    return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("int")
+    size = SEEDS * k
+    got = members.select("n", "p", "key").mapInArrow(run, ", ".join(f"x{i} double" for i in range(size))).agg(*[F.sum(f"x{i}") for i in range(size)]).first()
+    x = np.array([v or 0.0 for v in got]).reshape(SEEDS, k)
+    return int(np.argmin(np.sum((x - fit.totals) ** 2, axis=1)))
+
+
+def _key(name: Column, text: Column) -> Column:
+    """What a document's draw depends on: its id and text."""
+    return F.xxhash64(name, text, F.lit(11))
 
 
 def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, anchor: str = "good", max_rate: float | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -187,28 +208,36 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIG
     scorers = domain_scorers(docs, labels)
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # copies depend on id and text: the draw is taken here, where the text is
-    df = df.select("id", membership(scorers, tokenizer)(F.col("text")).alias("m"), F.xxhash64("text").alias("h"))
-    members = materialize(docs.sparkSession, df.select("id", "m.n", "m.p", "h"), "members")
+    df = df.select("id", membership(scorers, tokenizer)(F.col("text")).alias("m"), _key(F.col("id"), F.col("text")).alias("key"))
+    members = materialize(docs.sparkSession, df.select("id", "m.n", "m.p", "key"), "members")
     fit = fit_rates(members, weights, anchor, max_rate)
-    out = members.withColumn("rate", _rate_column(fit.steps, max_rate)(F.col("p")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", _copies(F.col("rate"), F.col("id"), F.col("h")).alias("copies"), F.lit(fit.residual).alias("residual"))
+    seed, most = draw_seed(members, fit, max_rate), np.inf if max_rate is None else float(max_rate)
+
+    @arrow_udf("struct<rate: double, copies: int>")
+    def drawn(p: pa.Array, key: pa.Array) -> pa.Array:
+        r = _rates(p.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(DOMAINS)), fit.steps, most)
+        return pa.StructArray.from_arrays([pa.array(r), pa.array(_copies(r, key.to_numpy(), seed), pa.int32())], names=["rate", "copies"])
+
+    out = members.withColumn("drawn", drawn("p", "key"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "drawn.rate", "drawn.copies", F.lit(fit.residual).alias("residual"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, anchor: str = "good", max_rate: float | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """The documents, each as often as mixture() says, with all their columns."""
     scorers = domain_scorers(docs, labels)
     text = F.col(text_col).cast("string")
-    members = materialize(docs.sparkSession, docs.select(membership(scorers, tokenizer)(text).alias("m")).select("m.n", "m.p"), "members")
+    key = _key(F.col(id_col), text)
+    members = materialize(docs.sparkSession, docs.select(membership(scorers, tokenizer)(text).alias("m"), key.alias("key")).select("m.n", "m.p", "key"), "members")
     fit = fit_rates(members, weights, anchor, max_rate)
+    seed = draw_seed(members, fit, max_rate)
     shared, most = [(s.weights, s.presence) for s in scorers], np.inf if max_rate is None else float(max_rate)
 
-    @arrow_udf("double")
-    def rate(text: pa.Array) -> pa.Array:
-        out = _rates(_posteriors(shared, *buffers(text)), fit.steps, most)
+    @arrow_udf("int")
+    def copies(text: pa.Array, key: pa.Array) -> pa.Array:
+        out = _copies(_rates(_posteriors(shared, *buffers(text)), fit.steps, most), key.to_numpy(), seed)
         trim()
-        return pa.array(out)
+        return pa.array(out, pa.int32())
 
     # the documents' columns are in a struct: their names don't meet those made here
-    df = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), rate(text).alias("rate"))
-    df = df.select("row", _copies(F.col("rate"), F.col("id"), F.col("hash")).alias("copies")).where("copies > 0")
+    df = docs.select(F.struct("*").alias("row"), copies(text, key).alias("copies")).where("copies > 0")
     return df.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*") if max_rate is None or max_rate > 1 else df.select("row.*")
