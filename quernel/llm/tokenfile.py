@@ -1,9 +1,9 @@
 """Token files: documents as one array of ids, their boundaries Elias-Fano encoded.
 
-A file holds a header, the token ids of its documents one after another (2 bytes each where the vocabulary allows, else
-4), the document ids, and the documents' end offsets as an Elias-Fano sequence: the low bits of each offset packed, the
+A file holds the token ids of its documents one after another (2 bytes each where the vocabulary allows, else
+4), the documents' end offsets and their ids (less the least) as Elias-Fano sequences, and a footer.  Of such a sequence the low bits of each value are packed, the
 high bits in unary in a bit vector, of which every ``SAMPLE``-th set bit's place is stored; ``select`` then
-returns any offset in constant time.  That is about 2 + log2(tokens per document) bits a document.
+returns any value in constant time, or a range of them, without a table of all.  That is about 2 + log2(tokens per document) bits a document for the ends, and as much for dense ids.
 
 Documents go to files in ascending id order: one range shuffle of the texts, then each task encodes and streams its
 range into its file.  Only files named in the manifest count, so retried tasks leave no trace in the result.
@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .shared import filesystem, new_dir
 from .textops import U64, bounded_batches, buffers, lean, slices, span_hashes
 
-MAGIC = b"QTOKENS1"
-#: magic, bytes an id, documents, ids, low bits, words of the high bit vector, samples, whether there are null document ids
-_HEAD = "<8sqqqqqqq"
+MAGIC = b"QTOKENS2"
+#: magic, bytes an id, documents, ids, documents without an id (they come first), least id; then of the ends and of the ids: low bits, words of the high bit vector, samples
+_HEAD = "<8sqqqqq6q"
 SAMPLE = 64
+#: documents whose boundaries are read at once; ids that one reading task takes, about
+RANGE, TASK_IDS = 4096, 64 << 20
 #: about so many bytes of text go to one file
 FILE_BYTES = 32 << 20
 
@@ -89,10 +91,24 @@ class EliasFano:
         place = word * 64 + (bits & -bits).bit_length() - 1
         return (place - i << self.low_bits) | int(self._low(np.array([i]))[0])
 
+    def select_range(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1: from the sample before the first, over the words of the bit vector up to the sample after the last."""
+        if i >= j:
+            return np.zeros(0, np.uint64)
+        k = i // SAMPLE
+        after = -(-j // SAMPLE)
+        begin = int(self.samples[k]) // 64
+        end = int(self.samples[after]) // 64 + 1 if after < len(self.samples) else len(self.high)
+        ones = begin * 64 + np.flatnonzero(np.unpackbits(self.high[begin:end].view(np.uint8), bitorder="little"))
+        ones = ones[np.searchsorted(ones, int(self.samples[k])) + i - k * SAMPLE :][: j - i]
+        at = np.arange(i, j)
+        return ((ones - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)
+
     def all(self) -> np.ndarray:
-        """All values at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(np.arange(self.n))
+        return self.select_range(0, self.n)
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.low, self.high, self.samples
 
 
 class TokenFile:
@@ -102,20 +118,25 @@ class TokenFile:
         fs, path = filesystem(uri)
         self.file = fs.open_input_file(path)
         self.size = self.file.size()
-        magic, self.width, self.n_docs, self.n_ids, low_bits, words, samples, nulls = struct.unpack(_HEAD, self.file.read_at(struct.calcsize(_HEAD), self.size - struct.calcsize(_HEAD)))
+        magic, self.width, self.n_docs, self.n_ids, self.nulls, self.least, *shape = struct.unpack(_HEAD, self.file.read_at(struct.calcsize(_HEAD), self.size - struct.calcsize(_HEAD)))
         assert magic == MAGIC, "not a token file"
         at = self.n_ids * self.width
-        low = -(-self.n_docs * low_bits // 64) + 1
-
-        def part(kind, n):
-            nonlocal at
-            out = np.frombuffer(self.file.read_at(n * 8, at), kind, n)
-            at += n * 8
-            return out
-
-        self.doc_ids = part(np.int64, self.n_docs)
-        self.nulls = part(np.int64, self.n_docs).astype(bool) if nulls else np.zeros(self.n_docs, bool)
-        self.ends = EliasFano(self.n_docs, low_bits, part(np.uint64, low), part(np.uint64, words), part(np.uint64, samples))
+        found = []
+        for n, (low_bits, words, samples) in zip((self.n_docs, self.n_docs - self.nulls), (shape[:3], shape[3:])):
+            parts = []
+            for size in (-(-n * low_bits // 64) + 1, words, samples):
+                parts.append(np.frombuffer(self.file.read_at(size * 8, at), np.uint64, size))
+                at += size * 8
+            found.append(EliasFano(n, low_bits, *parts))
+        self.ends, self.ids_of = found
+
+    def doc_ids(self, i: int, j: int) -> pa.Array:
+        """Ids of documents i to j - 1."""
+        nulls = max(0, min(j, self.nulls) - i)
+        some = self.ids_of.select_range(max(0, i - self.nulls), j - self.nulls) if j > self.nulls else np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            some = (some + np.array(self.least, np.int64).astype(np.uint64)).view(np.int64)
+        return pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(some)])
 
     def span(self, i: int) -> tuple[int, int]:
         return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
@@ -335,14 +356,16 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         if out is None:
             return
         ends = EliasFano.encode(np.cumsum(np.concatenate(counts)))
-        n, n_docs, missing = int(sum(c.sum() for c in counts)), sum(map(len, counts)), np.concatenate(nulls)
-        some = np.concatenate(doc_ids)
-        for x in (some, *([missing.astype(np.int64)] if missing.any() else []), ends.low, ends.high, ends.samples):
+        n, n_docs, missing = int(sum(c.sum() for c in counts)), sum(map(len, counts)), int(np.concatenate(nulls).sum())
+        there = np.concatenate(doc_ids)[missing:]
+        least = int(there[0]) if len(there) else 0
+        with np.errstate(over="ignore"):
+            names = EliasFano.encode(there.view(np.uint64) - np.array(least, np.int64).astype(np.uint64))
+        for x in (*ends.parts(), *names.parts()):
             out.write(x.tobytes())
-        out.write(struct.pack(_HEAD, MAGIC, encode.width, n_docs, n, ends.low_bits, len(ends.high), len(ends.samples), int(missing.any())))
+        out.write(struct.pack(_HEAD, MAGIC, encode.width, n_docs, n, missing, least, *(x for e in (ends, names) for x in (e.low_bits, len(e.high), len(e.samples)))))
         out.close()
-        there = some[~missing]
-        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([bool(missing[0])]), pa.array([int(there[0]) if len(there) else 0]), pa.array([n_docs]), pa.array([n])], names=["uri", "nulls", "first_id", "n_docs", "n_ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n_docs]), pa.array([n])], names=["uri", "n_docs", "n_ids"])
 
     return run
 
@@ -356,7 +379,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
     parts = max(spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
     ordered = df.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie", "text")
     folder = new_dir(spark, "tokens")
-    made = ordered.select("id", "text").mapInArrow(lean(_writer(folder, tokenizer, end_id)), "uri string, nulls boolean, first_id long, n_docs long, n_ids long")
+    made = ordered.select("id", "text").mapInArrow(lean(_writer(folder, tokenizer, end_id)), "uri string, n_docs long, n_ids long")
     made = made.withColumn("part", F.spark_partition_id())
     made.write.parquet(f"{folder}/manifest")
     # a row per file: a running sum over them is one small task, and nothing comes to the driver
@@ -371,18 +394,21 @@ def read_tokens(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def run(batches):
         for batch in batches:
             for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                t = TokenFile(uri)
-                ends = t.ends.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
-                i = 0
-                while i < t.n_docs:
-                    j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 22), "right")))
-                    ids = t.ids(int(starts[i]), int(ends[j - 1])).astype("<u4")
-                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts[i:j] - starts[i], ends[i:j] - starts[i])]
-                    yield pa.RecordBatch.from_arrays([pa.array(t.doc_ids[i:j], mask=t.nulls[i:j]), pa.array(starts[i:j] + base), pa.array(ends[i:j] - starts[i:j]), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
-                    i = j
+                t, at = TokenFile(uri), 0
+                for i in range(0, t.n_docs, RANGE):
+                    j = min(i + RANGE, t.n_docs)
+                    ends = t.ends.select_range(i, j).astype(np.int64)
+                    starts = np.concatenate([[at], ends[:-1]])
+                    crc: list[int] = []
+                    while len(crc) < j - i:  # long documents are read one by one
+                        a = len(crc)
+                        b = max(a + 1, int(np.searchsorted(ends, starts[a] + (1 << 22), "right")))
+                        ids = t.ids(int(starts[a]), int(ends[b - 1])).astype("<u4")
+                        crc += [zlib.crc32(ids[x:y]) for x, y in zip(starts[a:b] - starts[a], ends[a:b] - starts[a])]
+                    yield pa.RecordBatch.from_arrays([t.doc_ids(i, j), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
+                    at = int(ends[-1])
 
     spark: SparkSession = manifest.sparkSession
-    n = max(1, manifest.count())
-    one_each = manifest.select("uri", "base").repartition(min(n, 4 * spark.sparkContext.defaultParallelism), "uri")
+    total = manifest.agg(F.sum("n_ids")).first()[0] or 0
+    one_each = manifest.select("uri", "base").repartition(max(spark.sparkContext.defaultParallelism, -(-total // TASK_IDS)), "uri")
     return one_each.mapInArrow(lean(run), "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)

@@ -303,6 +303,9 @@ def test_elias_fano(values, shift):
     values = np.array(values, np.int64) << shift
     e = tokenfile.EliasFano.encode(values)
     assert (e.all() == values.astype(np.uint64)).all() and [e.select(i) for i in range(len(e))] == values.tolist()
+    for i, j in ((0, 1), (63, 65), (64, 128), (1, len(e)), (100, 250)):
+        j = min(j, len(e))
+        assert e.select_range(i, j).tolist() == values[i:j].tolist()
 
 
 @settings(max_examples=150, deadline=None)
@@ -323,11 +326,13 @@ def test_encoder_of_another_tokenizer():
     assert not e.by_word and [x.tolist() for x in e(HARD)] == [t.encode(x or "", add_special_tokens=False).ids + [5] for x in HARD]
 
 
-def test_token_files(docs_of, edge_docs, monkeypatch):
-    rows = [(i * 7 % 41, t) for i, t in enumerate(HARD * 2)] + [(None, "none"), (5, "tie")]
+@pytest.mark.parametrize("at_once", [4096, 3])
+def test_token_files(docs_of, edge_docs, monkeypatch, at_once):
+    monkeypatch.setattr(tokenfile, "RANGE", at_once)
+    rows = [(i * 7 % 41, t) for i, t in enumerate(HARD * 2)] + [(None, "none"), (None, ""), (5, "tie"), (-(1 << 63), "least"), ((1 << 63) - 1, "most")]
     manifest = tokenfile.write_tokens(docs_of(rows), tokenizer_path(), end_id=1)
     got = tokenfile.read_tokens(manifest).orderBy("start").collect()
-    assert [r.doc_id for r in got] == sorted([i for i, _ in rows], key=lambda i: -1 if i is None else i)
+    assert [r.doc_id for r in got] == sorted([i for i, _ in rows], key=lambda i: -(1 << 64) if i is None else i)
     ids = dict(zip([i for i, _ in rows], plain_ids([t for _, t in rows])))
     start = 0
     for r in got:
@@ -335,6 +340,8 @@ def test_token_files(docs_of, edge_docs, monkeypatch):
         start += r.n_tokens
         if [i for i, _ in rows].count(r.doc_id) == 1:
             assert r.n_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id], "<u4").tobytes())
+    if at_once == 3:
+        return
     f = tokenfile.TokenFile(manifest.orderBy("part").first().uri)
     assert [f.document(i).tolist()[-1] for i in range(f.n_docs)] == [1] * f.n_docs
     assert tokenfile.read_tokens(tokenfile.write_tokens(edge_docs, tokenizer_path())).count() == edge_docs.count()
