@@ -1,12 +1,14 @@
 """The folder that all executors share, and tables or files written to it.
 
-``spark.checkpoint.dir`` names it.  Where that is unset (tests on a local master) a folder under the
-working directory is set; on a cluster an unset folder is an error, never a machine-local one.
+``spark.checkpoint.dir`` names it.  Where that is unset (tests on a local master) a folder under ``TMPDIR``, else
+``/tmp``, is set, and deleted when the process ends; on a cluster an unset folder is an error, never a machine-local one.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 
 import pyarrow.fs as pafs
@@ -22,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.abspath(os.path.join(os.environ.get("TMPDIR", "/tmp"), f"quernel-shared-{os.getpid()}"))
         sc.setCheckpointDir(found)
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
     return found if "://" in found or found.startswith("file:") else "file://" + os.path.abspath(found)
 
 

@@ -1,8 +1,8 @@
 """URL filters: a sorted digest array of rules, probed by vectorised binary search.
 
 A rule blocks or allows a host with all its subdomains, below a path prefix.  Its key is the 64-bit xxhash of
-``host + path``.  The keys are one sorted array in a file of the shared folder; tasks memory-map it, so its
-pages are shared by a host's workers and no table is broadcast whatever its size.  A URL's candidates are its
+``host + path``.  The keys are one sorted array in a file of the shared folder; tasks memory-map it where that is mounted, so its
+pages are shared by a host's workers and no table is broadcast (where the folder is an object store, each worker reads the file into its own memory).  A URL's candidates are its
 host suffixes times the path lengths that rules have, longest first; each probe that finds a key is confirmed by
 comparing the full stored string, so a collision can't decide.
 
@@ -56,7 +56,7 @@ class Rules:
         if os.path.exists(path):
             with open(path, "rb") as f:
                 data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        else:  # a remote shared folder: the bytes are fetched once per worker
+        else:  # a remote shared folder can't be mapped: each worker holds the bytes
             with fs.open_input_file(path) as f:
                 data = f.read()
         magic, n, m, size = _HEAD.unpack_from(data, 0)
@@ -66,6 +66,7 @@ class Rules:
         self.at = np.frombuffer(data, np.int64, n + 1, at + 8 * n)
         at += 8 * n + 8 * (n + 1)
         self.lengths = np.frombuffer(data, np.int64, m, at)[::-1].tolist()
+        self.longest = int(np.diff(self.at).max()) if n else 0  # in bytes: no key has more code points
         self.blocks = np.frombuffer(data, np.uint8, n, at + 8 * m)
         self.data, self.start = data, at + 8 * m + n
 
@@ -90,8 +91,10 @@ class Rules:
         for host, path in zip(hosts, paths):
             own = []
             if host:
-                dots = [0, *(i + 1 for i, c in enumerate(host) if c == ".")]
-                for d in dots:
+                # suffixes longer than the longest rule can't fit
+                least = max(0, len(host) - self.longest)
+                dots = [i + 1 for i in range(max(0, least - 1), len(host)) if host[i] == "."]
+                for d in [0, *dots] if not least else dots:
                     suffix = host[d:]
                     if suffix:
                         own += [memo.setdefault(suffix + path[:n], len(memo)) for n in self.lengths if n <= len(path)]
