@@ -54,7 +54,7 @@ _add(
 _same("scan_project", "SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p FROM orders")
 _same("scan_star", "SELECT * FROM nation")
 _same("filter_cmp", "SELECT o_orderkey FROM orders WHERE o_totalprice >= 1000.5 AND o_orderkey <> 7 AND o_custkey < 900")
-_same("filter_and_or_not", "SELECT p_partkey FROM part WHERE (p_size > 30 OR p_brand = 'Brand#11') AND NOT p_retailprice < 1000")
+_same("filter_and_or_not", "SELECT p_partkey FROM part WHERE (p_size > 30 OR p_brand = 'Brand#11') AND NOT p_retailprice < 950")
 _same("pk_seek", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 42")
 _same("range_scan_limit_100", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 500 ORDER BY o_orderkey ASC LIMIT 100")
 _same("like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a_e%'")
@@ -119,6 +119,8 @@ _add("fn_null_choice", "SELECT p_partkey, COALESCE(NULLIF(p_size, 10), NULLIF(p_
 _add("fn_uuid", "SELECT n_nationkey, CHAR_LENGTH(UUID_V4()) AS a, SUBSTRING(UUID_V7(), 15, 1) AS b FROM nation", "SELECT n_nationkey, 36::BIGINT AS a, '7' AS b FROM nation")
 _add("json_extract", "SELECT event_id, JSON_EXTRACT(props, '$.k') AS k, JSON_EXTRACT(props, '$.none') AS n FROM events", "SELECT event_id, json_extract(props, '$.k')::VARCHAR AS k, NULL::VARCHAR AS n FROM events")
 _add("json_extract_path", "SELECT event_id, JSON_EXTRACT(CONCAT('{\"a\":[', props, ',{\"k\":\"s\"}]}'), '$.a[*].k') AS k FROM events", "SELECT event_id, '[' || json_extract(props, '$.k')::VARCHAR || ',\"s\"]' AS k FROM events")
+_add("json_extract_slice", "SELECT event_id, JSON_EXTRACT(CONCAT('[1,', props, ',3]'), '$[-1]') AS a, JSON_EXTRACT(CONCAT('[1,', props, ',3]'), '$[0:3:2]') AS b, JSON_EXTRACT(CONCAT('[1,', props, ',3]'), '$[2,0]') AS c FROM events", "SELECT event_id, '3' AS a, '[1,3]' AS b, '[3,1]' AS c FROM events")
+_add("json_extract_filter", "SELECT event_id, JSON_EXTRACT(CONCAT('[', props, ',{\"k\":-1}]'), '$[?(@.k > 50 && @.k < 80 || @.k == -1)].k') AS k FROM events", "SELECT event_id, CASE WHEN json_extract(props, '$.k')::INT BETWEEN 51 AND 79 THEN '[' || json_extract(props, '$.k')::VARCHAR || ',-1]' ELSE '-1' END AS k FROM events")
 _add("json_set", "SELECT event_id, JSON_SET(props, '$.z[1]', event_type) AS j FROM events", "SELECT event_id, '{\"k\":' || json_extract(props, '$.k')::VARCHAR || ',\"z\":[null,\"' || event_type || '\"]}' AS j FROM events")
 _add("json_remove", "SELECT event_id, JSON_REMOVE(props, '$.k') AS j, JSON_REMOVE(props, '$.q') AS l FROM events", "SELECT event_id, '{}' AS j, '{\"k\":' || json_extract(props, '$.k')::VARCHAR || '}' AS l FROM events")
 _add("json_type", "SELECT event_id, JSON_TYPE(props) AS a, JSON_TYPE(JSON_EXTRACT(props, '$.k')) AS b, JSON_TYPE('[1]') AS c, JSON_TYPE('1.5') AS d, JSON_TYPE('null') AS e FROM events", "SELECT event_id, 'OBJECT' AS a, 'INTEGER' AS b, 'ARRAY' AS c, 'DOUBLE' AS d, 'NULL' AS e FROM events")
@@ -149,6 +151,9 @@ _add("agg_group_multi", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, ROUND
 _add("agg_group_expr", "SELECT p_size / 10 AS d, COUNT(*) AS n FROM part GROUP BY p_size / 10", "SELECT (p_size // 10)::BIGINT AS d, COUNT(*) AS n FROM part GROUP BY p_size // 10")
 _same("agg_group_null", "SELECT NULLIF(n_regionkey, 2) AS g, COUNT(*) AS n FROM nation GROUP BY NULLIF(n_regionkey, 2)")
 _same("agg_having", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12 AND MIN(o_totalprice) > 500")
+_add("agg_sum_distinct", "SELECT l_returnflag, SUM(DISTINCT l_linenumber) AS s, COUNT(DISTINCT l_suppkey) AS c FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, SUM(DISTINCT l_linenumber)::BIGINT AS s, COUNT(DISTINCT l_suppkey) AS c FROM lineitem GROUP BY l_returnflag")
+_add("distinct_order_hidden", "SELECT DISTINCT c_mktsegment FROM customer ORDER BY c_acctbal LIMIT 2", "SELECT c_mktsegment FROM customer GROUP BY c_mktsegment ORDER BY MIN(c_acctbal) LIMIT 2")
+_add("distinct_order_hidden_desc", "SELECT DISTINCT c_nationkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5 OFFSET 2", "SELECT c_nationkey FROM customer GROUP BY c_nationkey ORDER BY MAX(c_acctbal) DESC LIMIT 5 OFFSET 2")
 _same("agg_distinct", "SELECT DISTINCT p_brand, p_size FROM part")
 _add("agg_empty", "SELECT COUNT(*) AS a, SUM(p_size) AS b, MAX(p_name) AS c FROM part WHERE p_size < 0", "SELECT 0::BIGINT AS a, NULL::BIGINT AS b, NULL::VARCHAR AS c")
 _same("agg_empty_group", "SELECT p_brand, COUNT(*) AS a FROM part WHERE p_size < 0 GROUP BY p_brand")
@@ -250,3 +255,22 @@ _after("show_tables", ["CREATE TABLE b (x INT)", "CREATE TABLE a (y INT)", "DROP
 _after("describe", ["CREATE TABLE t (id INT PRIMARY KEY, v VARCHAR(3) NOT NULL DEFAULT 'q')"], "DESCRIBE t", "SELECT * FROM (VALUES ('id', 'INT', 'NO', 'PRI', 'NULL', ''), ('v', 'VARCHAR(3)', 'NO', '', 'q', '')) AS t(Field, Type, \"Null\", Key, \"Default\", Extra)", {})
 _after("show_create_table", ["CREATE TABLE t (id INT PRIMARY KEY, v DECIMAL(5,1) CHECK (v > 1))"], "SHOW CREATE TABLE t", "SELECT 't' AS \"Table\", 'CREATE TABLE t (' || chr(10) || '  id INT PRIMARY KEY,' || chr(10) || '  v DECIMAL(5,1) CHECK (v > 1)' || chr(10) || ')' AS \"Create Table\"", {})
 _after("explain_plan", ["CREATE INDEX i ON nation(n_regionkey)", "ANALYZE TABLE nation"], "EXPLAIN SELECT * FROM nation WHERE n_regionkey = 2", "SELECT 1::BIGINT AS id, 'SIMPLE' AS select_type, 'nation' AS \"table\", 'ref' AS type, 'i' AS key, count(*) // count(DISTINCT n_regionkey) AS \"rows\", 1200 + 3 * (count(*) // count(DISTINCT n_regionkey)) AS cost, 'Using where; Using index' AS Extra FROM nation", _N)
+
+# definitions and changes on whole given tables
+_D = {"documents": ["doc_id"]}
+_after("ddl_drop_index", ["CREATE UNIQUE INDEX u ON nation(n_name)", "DROP INDEX u", "UPDATE nation SET n_name = 'same'"], "SELECT n_nationkey, n_name FROM nation", "SELECT n_nationkey::BIGINT AS n_nationkey, 'same' AS n_name FROM nation", _N)
+_after("ddl_rename_table", ["RENAME TABLE nation TO land", "DELETE FROM land WHERE n_regionkey = 0"], "SELECT n_nationkey, n_name FROM land", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_regionkey <> 0", _N)
+_after("dml_fk_update_set_null", [_FK[0].format("CASCADE").replace("ON UPDATE CASCADE", "ON UPDATE SET NULL"), _FK[1], "UPDATE nation SET n_nationkey = 40 WHERE n_nationkey = 3"], "SELECT id, nk FROM c", "SELECT * FROM (VALUES (1::BIGINT, NULL::BIGINT), (2, 4), (3, NULL), (4, NULL)) AS t(id, nk)", _N)
+_after(
+    "dml_savepoint_release",
+    ["BEGIN", "DELETE FROM nation WHERE n_nationkey < 5", "SAVEPOINT s", "DELETE FROM nation WHERE n_nationkey < 10", "RELEASE SAVEPOINT s", "COMMIT"],
+    "SELECT n_nationkey FROM nation", "SELECT n_nationkey::BIGINT AS n_nationkey FROM nation WHERE n_nationkey >= 10", _N,
+)
+_after(
+    "fts_index_follows_changes",
+    ["CREATE FULLTEXT INDEX f ON documents(text) WITH PARSER ngram OPTIONS (n=2, normalize='nfkc')", "UPDATE documents SET text = 'zebra quagga' WHERE lang = 'en' AND MATCH(text) AGAINST('+th' IN BOOLEAN MODE) > 0", "DELETE FROM documents WHERE MATCH(text) AGAINST('+qu -zebra' IN BOOLEAN MODE) > 0"],
+    "SELECT doc_id, MATCH(text) AGAINST('\"zebra\"' IN BOOLEAN MODE) AS z FROM documents",
+    """WITH u AS (SELECT doc_id, CASE WHEN lang = 'en' AND contains(text, 'th') THEN 'zebra quagga' ELSE text END AS text FROM documents)
+SELECT doc_id, CASE WHEN contains(text, 'zebra') THEN 1000000 ELSE 0 END::BIGINT AS z FROM u WHERE text IS NULL OR NOT (contains(text, 'qu') AND NOT (contains(text, 'ze') OR contains(text, 'eb') OR contains(text, 'br') OR contains(text, 'ra')))""",
+    _D,
+)

@@ -14,7 +14,7 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -246,11 +246,15 @@ class Engine:
                 time.sleep(0.02)
 
     def _change(self, q, work: Catalog):
-        changes = Changes(self.spark, work, f"{self.root}/data", self._planner(work).query)
+        planner = self._planner(work)
+        changes = Changes(self.spark, work, f"{self.root}/data", planner.query)
         if isinstance(q, Insert):
             return changes.insert(q)
+        if isinstance(q, Update | Delete) and q.where is not None:
+            q = replace(q, where=planner.searches([q.where], q.table.name)[0])
         if isinstance(q, Update):
-            return changes.update(q)
+            values = planner.searches([v for _, v in q.sets], q.table.name)
+            return changes.update(replace(q, sets=[(n, v) for (n, _), v in zip(q.sets, values)]))
         if isinstance(q, Delete):
             return changes.delete(q)
         if isinstance(q, CreateTable):

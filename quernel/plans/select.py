@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..errors import ExecutionError, SchemaError
 from ..operators import fulltext
@@ -115,10 +115,17 @@ class Planner:
         sort = [compile_expr(e, scope)[0] for e in orders]
         if q.distinct:
             texts = {compile_expr(e, scope)[0]: name for (e, _), name in zip(items, names)}
+            hidden = {t: f"__s{i}" for i, t in enumerate(sort) if t not in texts}
+            keys = [_sorted(column(texts[t]) if t in texts else hidden[t], o) for t, o in zip(sort, q.order)]
+            if hidden:
+                # a row that is left goes where the first of those that it stands for goes; Spark takes each task's firsts before it shuffles
+                df = df.select(*out, *[F.expr(t).alias(h) for t, h in hidden.items()])
+                first = F.row_number().over(Window.partitionBy(*[column(n) for n in names]).orderBy(*keys))
+                df = df.withColumn("__first", first).where("__first = 1").orderBy(*keys)
+                return _cut(df, q.limit, q.offset).select(*[column(c) for c in names])
             df = df.select(*out).distinct()
-            keys = [(column(texts[t]), o) for t, o in zip(sort, q.order) if t in texts]
             if keys:
-                df = df.orderBy(*[_sorted(t, o) for t, o in keys])
+                df = df.orderBy(*keys)
         elif sort or (q.limit is not None or q.offset is not None) and key:
             # ties, and rows that a LIMIT takes without ORDER BY, go by key
             hidden = [(f"__s{i}", t, o) for i, (t, o) in enumerate([*zip(sort, q.order), *[(k, OrderItem(())) for k in key]])]
@@ -179,7 +186,13 @@ class Planner:
         df = grouped.agg(*parts) if parts else grouped.agg(F.count(F.lit(1)).alias("__n"))
         return df, after, lambda e: lookup[e]
 
-    def _searches(self, exprs: list[Expr], sources: dict[str, Source]) -> list[Expr]:
+    def searches(self, exprs: list[Expr], name: str) -> list[Expr]:
+        """The same for a statement that changes one table, whose columns go by their bare names."""
+        if not any(x[0] in ("match", "snippet") for e in exprs for x in walk(e)):
+            return exprs
+        return self._searches(exprs, {name: self.lookup(name)}, lambda _, c: c)
+
+    def _searches(self, exprs: list[Expr], sources: dict[str, Source], place: Callable[[str, str], str] = lambda label, c: f"{label}.{c}") -> list[Expr]:
         """MATCH and fts_snippet become expressions over their column; corpus numbers are gathered here, once."""
         nodes = {x for e in exprs for x in walk(e) if x[0] in ("match", "snippet")}
         made: dict[Expr, Expr] = {}
@@ -189,7 +202,7 @@ class Planner:
                 raise SchemaError(f"column {x[1]} has no full-text index here")
             label, s = hits[0]
             ready = s.normalised(x[1])
-            here = column(f"{label}.{x[1]}")
+            here = column(place(label, x[1]))
             text = here if ready else f"quernel_nfkc({here})"
             if x[0] == "snippet":
                 made[x] = ("raw", fulltext.snippet(text, *x[2:]), "str")

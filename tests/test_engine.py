@@ -238,3 +238,42 @@ def test_prepared_and_output(e):
     assert "NULL" in e.to_text(e.query("SELECT * FROM t")) and e.to_json(3) == '{"rows_affected": 3}'
     assert [e.classify_sql(s) for s in ("SELECT 1", "DELETE FROM t", "BEGIN")] == ["read", "write", "transaction"]
     assert e.cancel_handle()() is False
+
+
+def test_distinct_in_the_order_of_a_hidden_column(e):
+    run(e, "CREATE TABLE t (id BIGINT PRIMARY KEY, g VARCHAR, v INT, w INT)", "INSERT INTO t VALUES (1,'a',3,1),(2,'b',1,1),(3,'a',2,9),(4,'c',NULL,5),(5,'c',7,0),(6,'b',1,8)")
+    assert run(e, "SELECT DISTINCT g FROM t ORDER BY v LIMIT 1") == [("c",)]
+    assert run(e, "SELECT DISTINCT g FROM t WHERE v IS NOT NULL ORDER BY v") == [("b",), ("a",), ("c",)]
+    assert run(e, "SELECT DISTINCT g FROM t ORDER BY v DESC") == [("c",), ("a",), ("b",)]
+    assert run(e, "SELECT DISTINCT g FROM t WHERE v IS NOT NULL ORDER BY v ASC, w DESC LIMIT 2 OFFSET 1") == [("a",), ("c",)]
+    assert run(e, "SELECT DISTINCT g FROM t ORDER BY v, g DESC") == [("c",), ("b",), ("a",)]
+
+
+def test_search_in_changes(e):
+    run(e, "CREATE TABLE t (id BIGINT PRIMARY KEY, body TEXT, hits BIGINT)", "INSERT INTO t VALUES (1,'red apple',0),(2,'green pear',0),(3,'red pear',0),(4,NULL,0)", "CREATE FULLTEXT INDEX f ON t(body) WITH PARSER ngram OPTIONS (n=2, normalize='nfkc')")
+    assert run(e, "UPDATE t SET body = 'blue plum' WHERE MATCH(body) AGAINST('+apple' IN BOOLEAN MODE) > 0") == 1
+    assert run(e, "SELECT id FROM t WHERE MATCH(body) AGAINST('plum') > 0 ORDER BY id") == [(1,)]
+    assert run(e, "UPDATE t SET hits = MATCH(body) AGAINST('+pear' IN BOOLEAN MODE)") == 4
+    assert [r[0] for r in run(e, "SELECT id FROM t WHERE hits > 0 ORDER BY id")] == [2, 3]
+    assert run(e, "DELETE FROM t WHERE MATCH(body) AGAINST('pear') > 0 AND id > 2") == 1
+    assert run(e, "SELECT id FROM t ORDER BY id") == [(1,), (2,), (4,)]
+    with pytest.raises(EngineError):
+        run(e, "DELETE FROM t WHERE MATCH(hits) AGAINST('pear') > 0")
+
+
+@pytest.mark.parametrize(
+    ("path", "want"),
+    [
+        ("$.a[-1]", "3"), ("$.a[-9]", None), ("$.a[0:2]", "[1,2]"), ("$.a[0,2]", "[1,3]"), ("$.a[::2]", "[1,3]"), ("$.a[1:]", "[2,3]"), ("$.a[-2:]", "[2,3]"), ("$['b']['x y']", "5"), ("$['a','n']", "[[1,2,3],null]"),
+        ("$.c[?(@.x == 1 && @.y == 2)].n", '"p"'), ("$.c[?(@.x == 1 || @.y == 9)].n", '["p","q"]'), ("$.c[?(@.x == 1 && !(@.y == 2))].n", '"q"'), ("$.c[?(@.n == 'q')].y", "3"), ("$.c[?(@.z)].n", '"r"'), ("$.c[?(!@.z)].n", '["p","q"]'),
+        ("$.c[?(@.l[1] > 4)].n", '"r"'), ("$.c[?(@.n >= 'q' && @.x < 2)].n", '"q"'), ("$..n", None), ("$.c[*].l[0]", "4"),
+    ],
+)
+def test_json_paths(path, want):
+    from quernel.functions import arrow
+
+    doc = '{"a":[1,2,3],"b":{"x y":5},"n":null,"c":[{"x":1,"y":2,"n":"p"},{"x":1,"y":3,"n":"q"},{"x":2,"n":"r","z":false,"l":[4,5]}]}'
+    assert path == "$..n" or arrow.extract(doc, path) == want
+    for bad in ("$.a[", "$.a[x]", "$[?(@.x ==)]", "$[?(@.x == 1]", "$.a[0;1]", "$[?((@.x)]", "$.a[::0]"):
+        with pytest.raises(ExecutionError):
+            arrow.path_steps(bad)
